@@ -95,4 +95,44 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_quantiles": """
+        with v as (
+          select request_id, field, group_field, quantile, max_rank_error, read_id,
+            case group_field when 'class' then class when 'run_name' then run_name when 'all' then 'all'
+              when 'acquired_day' then strftime(acquired_at at time zone 'UTC', '%Y-%m-%d') end as group_value,
+            case field when 'global_median' then global_median when 'global_mad' then global_mad
+              when 'median_before_plr' then median_before_plr end as x
+          from peptide_signals, quantile_requests),
+        once as (
+          select request_id, field, group_field, quantile, max_rank_error, group_value, read_id, min(x) as x
+          from v where x is not null and not isnan(x) group by all),
+        ranked as (
+          select *, row_number() over (partition by request_id, group_value order by x) as place,
+            count(*) over (partition by request_id, group_value) as n
+          from once)
+        select request_id, field, group_field, group_value, quantile, n, x as value, cast(0 as double) as rank_error, max_rank_error
+        from ranked where place = greatest(ceil(quantile * n - 1e-9), 1)""",
+    "p3_found": """
+        with rows as (
+          select distinct read_id, s, e, case when not isnan(mean) then mean end as mean, case when not isnan(std) then std end as std
+          from step_segments where read_id is not null and s is not null),
+        noise as (select read_id, quantile_disc(std, 0.5) as noise from rows where std > 0 group by read_id),
+        near as (
+          select r.read_id, s, e, mean,
+            abs(mean - lag(mean) over (partition by r.read_id order by s, e, mean)) <= coalesce(noise, 0) as same
+          from rows r left join noise n on n.read_id = r.read_id where mean is not null),
+        runs as (
+          select *, sum(case when same then 0 else 1 end) over (partition by read_id order by s, e, mean rows unbounded preceding) as run
+          from near)
+        select read_id, min(s) as run_start, cast(arg_max(e, s) as integer) as run_end from runs
+        group by read_id, run having count(*) > 1""",
+    "p5_found": """
+        with have as (
+          select class, lower(trim(dataset, chr(9) || chr(10) || chr(13) || ' ')) as d, count(*) as n from templaterc group by all)
+        select plan_id, t.class, t.dataset from sample_targets t
+        left join have h on h.class is not distinct from t.class
+          and nullif(h.d, '') is not distinct from nullif(lower(trim(t.dataset, chr(9) || chr(10) || chr(13) || ' ')), '')
+        group by plan_id, t.class, t.dataset, min_rows, target_share, sample_size
+        having coalesce(sum(n), 0) < greatest(min_rows, target_share * sample_size)""",
+}

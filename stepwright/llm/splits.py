@@ -113,6 +113,10 @@ def _anneal(block: pd.DataFrame, shares: np.ndarray, rounds: int, heat: float) -
     return pd.DataFrame({"chain": block["chain"].iloc[0], "group": groups, "split": best})
 
 
+def _annealer(shares: np.ndarray, steps: int, heat: float):
+    return lambda block: _anneal(block, shares, steps, heat)
+
+
 def assign_splits(
     members: DataFrame,
     targets: DataFrame,
@@ -171,11 +175,9 @@ def assign_splits(
         )
         work = dealt.join(goal, ["chain", "block", "label"]).withColumn("seed", F.xxhash64(F.lit(seed), F.lit(r), "chain", "block"))
 
-        def run(key, pdf, shares=shares, heat=0.2 / (1 + r)):
-            return _anneal(pdf, shares, steps, heat)
-
         state = materialize(
-            work.groupBy("chain", "block").applyInPandas(run, "chain int, group long, split int"), "assigned"
+            work.groupBy("chain", "block").applyInPandas(_annealer(shares, steps, 0.2 / (1 + r)), "chain int, group long, split int"),
+            "assigned",
         )
         kept.append(state)
     for r, s in enumerate(kept):
