@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import materialize, table
 from .clusters import cluster_reads
 from .mixing import mix_sources
+from .pii import find_personal, redact
 from .quantiles import requested_quantiles
 from .sampling import sample_plans
 from .splits import split_manifest
@@ -87,6 +88,15 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return report
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(table(spark, d, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return redact(docs, materialize(find_personal(docs), "found"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import file_key, run_key
-from ..runtime import discard, materialize
+from ..runtime import discard, materialize, ship
 from .mixing import uniform
 
 
@@ -145,6 +145,7 @@ def assign_splits(
     names, shares = [n for n, _ in rows], np.array([s / total for _, s in rows])
     sizes = materialize(members.groupBy("group", F.coalesce("label", F.lit("")).alias("label")).agg(F.count("*").alias("n")), "components")
     spark = members.sparkSession
+    ship(spark)
     if not names:
         nothing = sizes.select("group", F.lit(None).cast("string").alias("split")).limit(0)
         return nothing, spark.createDataFrame([], "chain int, round int, cost double")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..runtime import materialize
+from ..runtime import materialize, ship
 
 #: Samples of a read handled together: a bound on what one row of the agglomeration holds.
 CHUNK = 1 << 16
@@ -95,6 +95,7 @@ def collapse_steps(
     chunk's border are then put together from one small row each, so that no read, however long, is
     one task's work.
     """
+    ship(steps.sparkSession)
     clean = (
         steps.select("read_id", "s", "e", F.nanvl("mean", F.lit(None)).alias("mean"), F.nanvl("std", F.lit(None)).alias("std"))
         .where("read_id is not null and s is not null")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 DEFAULT_DIR = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.json"
 
@@ -167,6 +169,7 @@ def load(name: str = BYTE_BPE_50K, folder: str = DEFAULT_DIR) -> PrefixEncoder:
 
 def _shared(spark: SparkSession, name: str, folder: str):
     """The file's content as a broadcast: a vocabulary is a few MB at every size of the corpus."""
+    ship(spark)
     with open(os.path.join(folder, name), "rb") as f:
         return os.path.join(folder, name), spark.sparkContext.broadcast(f.read())
 
