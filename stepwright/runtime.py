@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Local sessions without spark.checkpoint.dir share this folder; a cluster must name its own.
 _LOCAL_SHARED: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def get_spark(app: str = "stepwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,6 +31,23 @@ def get_spark(app: str = "stepwright", master: str | None = None, **conf: str) -
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that no node has to have it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="stepwright-"), "stepwright.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: spark.checkpoint.dir, or a temporary one in local sessions."""
     conf = spark.sparkContext.getConf()
