@@ -45,3 +45,10 @@ def dataset_key(dataset: Column) -> Column:
     """A dataset's name without case and outer blanks; null if blank."""
     key = F.lower(F.regexp_replace(dataset, r"^[\s ]+|[\s ]+$", ""))
     return F.when(key != "", key)
+
+
+def sql_run_key(column: str) -> str:
+    """run_key in SQL."""
+    wide, narrow = _WIDE, _NARROW.replace("'", "''")
+    words = f"trim(regexp_replace(lower(translate({column}, '{wide}', '{narrow}')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    return f"nullif(regexp_replace({words}, '(^| )0+([0-9])', '\\1\\2', 'g'), '')"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import skewed
+from . import reach, skewed
 
-MODULES = [skewed]
+MODULES = [skewed, reach]
 
 
 def queries() -> dict[str, Callable]:
