@@ -35,10 +35,15 @@ def file_key(path: Column) -> Column:
     p = F.regexp_replace(p, "/+", "/")
     p = F.regexp_replace(p, r"^(\./)+", "")
     p = F.regexp_replace(p, r"^.*?(?:^|/)out/", "")
-    run = F.regexp_extract(p, "^([^/]+)/", 1)
-    rest = F.regexp_replace(p, "^[^/]+/", "")
-    key = F.when(run != "", F.concat(F.coalesce(run_key(run), run), F.lit("/"), rest)).otherwise(p)
-    return F.when(key != "", key)
+
+    def joined(path: Column) -> Column:
+        cut = F.instr(path, "/")
+        run = F.substring_index(path, "/", 1)
+        key = F.when(cut > 1, F.concat(F.coalesce(run_key(run), run), F.substr(path, cut))).otherwise(path)
+        return F.when(key != "", key)
+
+    # A lambda binds the path once; written out, each use would repeat all of the above.
+    return F.transform(F.array(p), joined)[0]
 
 
 def dataset_key(dataset: Column) -> Column:
@@ -52,3 +57,18 @@ def sql_run_key(column: str) -> str:
     wide, narrow = _WIDE, _NARROW.replace("'", "''")
     words = f"trim(regexp_replace(lower(translate({column}, '{wide}', '{narrow}')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     return f"nullif(regexp_replace({words}, '(^| )0+([0-9])', '\\1\\2', 'g'), '')"
+
+
+def sql_file_key(column: str) -> str:
+    """file_key in SQL."""
+    wide, narrow = _WIDE, _NARROW.replace("'", "''")
+    p = f"regexp_replace(regexp_replace(lower(translate({column}, '{wide}', '{narrow}')), '^[\\s ]+|[\\s ]+$', '', 'g'), '\\\\', '/', 'g')"
+    p = f"regexp_replace(regexp_replace({p}, '/(\\./)+', '/', 'g'), '/+', '/', 'g')"
+    p = f"regexp_replace(regexp_replace({p}, '^(\\./)+', ''), '^(?:.*?/)??out/', '')"
+    run = f"regexp_extract({p}, '^([^/]+)/', 1)"
+    return f"nullif(case when {run} <> '' then coalesce({sql_run_key(run)}, {run}) || '/' || regexp_replace({p}, '^[^/]+/', '') else {p} end, '')"
+
+
+def sql_dataset_key(column: str) -> str:
+    """dataset_key in SQL."""
+    return f"nullif(lower(regexp_replace({column}, '^[\\s ]+|[\\s ]+$', '', 'g')), '')"

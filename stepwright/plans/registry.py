@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import reach, skewed
+from . import manifest, reach, skewed
 
-MODULES = [skewed, reach]
+MODULES = [skewed, reach, manifest]
 
 
 def queries() -> dict[str, Callable]:
