@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import manifest, reach, skewed
+from . import manifest, reach, signals, skewed
 
-MODULES = [skewed, reach, manifest]
+MODULES = [skewed, reach, manifest, signals]
 
 
 def queries() -> dict[str, Callable]:
