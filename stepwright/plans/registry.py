@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import manifest, reach, signals, skewed
+from . import evaluation, manifest, reach, signals, skewed
 
-MODULES = [skewed, reach, manifest, signals]
+MODULES = [skewed, reach, manifest, signals, evaluation]
 
 
 def queries() -> dict[str, Callable]:
