@@ -35,6 +35,7 @@ KINDS = ("email", "phone", "identity", "address", "name")
 TITLES = ("dr", "prof", "mr", "mrs", "ms", "herr", "frau", "mme", "m", "sr", "sra")
 PARTICLES = ("van der", "van den", "von der", "de la", "van", "von", "de", "di", "da", "du", "del", "la", "le", "ter", "zu")
 FLATS = ("flat", "apt", "apt.", "unit", "suite")
+NO_STREET = FLATS + tuple("jan feb mar apr may jun jul aug sep oct nov dec mon tue wed thu fri sat sun".split())
 STREET_FIRST = ("rue", "avenue", "impasse", "allée", "boulevard", "chemin", "place", "quai", "cours", "calle", "plaza", "paseo", "avda.", "avenida", "c/", "ronda", "camino", "travesía", "glorieta", "carrer")
 STREET_LAST = ("rd", "rd.", "road", "st", "st.", "street", "avenue", "ave", "ave.", "lane", "close", "court", "drive", "way", "terrace", "place", "square")
 STREET_END = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer")
@@ -43,15 +44,15 @@ OTHER_UNITS = ("room", "raum", "ticket", "version", "build", "lot", "charge", "w
 _LETTER = r"[^\W\d_]"
 _NAME = rf"{_LETTER}+(?:['’]{_LETTER}+)?(?:-{_LETTER}+)*"
 
-#: What the view undoes or blanks out.
+#: What the view undoes or blanks out: base64 lines, encoded header words, soft line breaks, quoted-printable
+#: bytes, character references, line ends with quote marks, and wrongly decoded UTF-8. Every alternative
+#: begins with a literal, so the search skips from one such character to the next.
+_BASE64 = r"\n(?:[A-Za-z0-9+/]{60,80}(?:\r?\n|\Z))+(?:[A-Za-z0-9+/]{2,80}={0,2}(?=\r?\n|\Z))?"
 _EDITS = re.compile(
-    r"(?P<b64>(?:(?<=\n)|(?<=\A))(?:[A-Za-z0-9+/]{60,80}\r?\n)+(?:[A-Za-z0-9+/]{2,80}={0,2}(?=\r?\n|\Z))?|(?<=\n)[A-Za-z0-9+/]{60,80}={0,2}\Z)"
-    r"|(?P<word>=\?[\w-]+\?[bBqQ]\?[^?\s]*(?:\?=)?)"
-    r"|(?P<soft>=\r?\n)"
-    r"|(?P<qp>(?:=[0-9A-F]{2})+)"
-    r"|(?P<ref>&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});)"
-    r"|(?P<line>\r?\n(?:[>|] ?)+|\r\n)"
-    "|(?P<utf>(?:[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+)+)"
+    rf"{_BASE64}|\r{_BASE64}|\n[>|][>| ]*|\r\n[>| ]*"
+    r"|=\r?\n|=\?[\w-]+\?[bBqQ]\?[^?\s]*(?:\?=)?|=[0-9A-F]{2}(?:=[0-9A-F]{2})*"
+    r"|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});"
+    "|[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ][\x80-\xf4€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]*"
 )
 
 
@@ -72,23 +73,25 @@ def view(text: str) -> tuple[str, list[int], list[int]]:
     """The text as the scan reads it, with the starts of its unchanged stretches there and in the given text."""
     out, here, there, at, length = [], [0], [0], 0, 0
     for m in _EDITS.finditer(text):
-        kind, s = m.lastgroup, m[0]
-        if kind == "line":
-            new = "\n"
-        elif kind == "soft":
-            new = ""
-        elif kind == "ref":
+        s = m[0]
+        c = s[0]
+        if c in "\r\n":
+            new = "\n" if len(s) < 60 or not s.strip()[:1].isalnum() and s.strip()[:1] not in "+/" else "\n\x01"
+        elif c == "=":
+            if s[1] in "\r\n":
+                new = ""
+            elif s[1] == "?":
+                new = "\x01"
+            else:
+                raw = bytes.fromhex(s.replace("=", ""))
+                try:
+                    new = raw.decode("utf-8")
+                except UnicodeError:
+                    new = raw.decode("latin-1")
+        elif c == "&":
             new = html.unescape(s)
-        elif kind == "utf":
-            new = _mended(s)
-        elif kind == "qp":
-            raw = bytes.fromhex(s.replace("=", ""))
-            try:
-                new = raw.decode("utf-8")
-            except UnicodeError:
-                new = raw.decode("latin-1")
         else:
-            new = "\x01"
+            new = _mended(s)
         if new is None or new == s:
             continue
         a, b = m.span()
@@ -107,9 +110,9 @@ def view(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), here, there
 
 
-_AT = r"(?:@|\[@\]|\[at\]|\(at\)| \(at\) | \[at\] | at )"
+_SIGN = re.compile(r"@|\[(?:@|at)\] ?|\(at\) ?|at (?=[\w.-]+ dot )")
 _DOT = r"(?:\.|\[\.\]|\(\.\)| ?\[dot\] ?| ?\(dot\) ?| dot )"
-_EMAIL = re.compile(rf"(?<![\w.+-])(\w[\w.+'-]*)({_AT})([A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9-]*)+)")
+_HOST = re.compile(rf"[A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9-]*)+")
 #: Message ids are machines' names for messages: digits of base 16, with counters after dots or without.
 _MACHINE = re.compile(r"(?=[a-fA-F]*\d)[0-9a-fA-F]{8,}(?:\.\d+)*")
 
@@ -118,6 +121,8 @@ _NUMBER = re.compile(
     r"([A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z](?!\w)|[XYZ]-?\d{7}-?[A-Z](?!\w)|[+(]{0,2}\d[\d()./ -]{5,24}\d(?:[ -]?[A-Z](?![\w'’]))?)"
     r"(?![\w@:=]|[.-]\w|/\w)"
 )
+_MASK = str.maketrans({**{d: "9" for d in "012345678"}, **{chr(c): "A" for c in range(65, 91)}})
+_SIGNS = re.compile(r"\W")
 _TWO_NUMBERS = re.compile(r"  +|[ ][-/(]?[ ]")
 
 _IDENTITY_WORDS = re.compile(r"steuer-id|steuernummer|security|sécurité sociale|identidad|\bdni\b|\bnif\b|\bnie\b|passport|insurance number")
@@ -137,19 +142,16 @@ _WORD = re.compile(_NAME)
 _AFTER = re.compile(rf"\s(?:({_LETTER})\.\s)?((?:(?i:{_PARTICLE})\s)?)({_NAME})")
 _BEFORE = re.compile(rf"(?<![^\W_])((?:(?i:{_PARTICLE})\s)?)({_NAME})(,?)\s\Z")
 _INITIAL = re.compile(rf"(?<![\w.@-])({_LETTER}\.\s)((?:(?:{_PARTICLE})\s)?)({_NAME})")
-_INITIAL_LAST = re.compile(rf"(?<![\w@-])((?:(?:{_PARTICLE})\s)?)({_NAME}),\s({_LETTER}\.)")
+_INITIAL_LAST = re.compile(rf",\s({_LETTER}\.)")
+_LAST_NAME = re.compile(rf"(?<![\w@-])((?:(?:{_PARTICLE})\s)?)({_NAME})\Z")
 
 
-def _lower(s: str) -> str:
-    return re.sub(r"\s+", " ", s).strip().lower()
+_BREAKS = str.maketrans({"\n": " ¶ ", "<": " ¶ ", ">": " ¶ ", **{d: "9" for d in "012345678"}})
 
 
 def _words_before(text: str, at: int, n: int) -> str:
-    """The n words before a position, without digits; line starts count as a word."""
-    left = text[max(0, at - 60) : at].replace("\n", " ¶ ")
-    left = re.sub(r"<[^<>]*>|[<>]", " ¶ ", left)
-    words = re.sub(r"\d+", "9", left).lower().split()
-    return " ".join(words[-n:])
+    """The n words before a position, digits as 9; ends of lines and tags are words."""
+    return " ".join(text[max(0, at - 60) : at].translate(_BREAKS).lower().split()[-n:])
 
 
 class Scan:
@@ -159,13 +161,20 @@ class Scan:
         self.known = known
 
     def emails(self, t: str):
-        for m in _EMAIL.finditer(t):
-            local, how, host = m[1], m[2], m[3]
-            if how == " at " and not re.search(r" dot |\[dot\]|\(dot\)", host):
+        for m in _SIGN.finditer(t):
+            host = _HOST.match(t, m.end())
+            end = m.start()
+            if m[0] != "@" and end and t[end - 1] == " ":
+                end -= 1
+            elif m[0][0] == "a":  # the word at stands apart
                 continue
-            if _MACHINE.fullmatch(local):
-                continue
-            yield "email", m.start(), m.end(), "", "", "", 1, ""
+            start = end
+            while start and (t[start - 1].isalnum() or t[start - 1] in "._+-'"):
+                start -= 1
+            while start < end and not (t[start].isalnum() or t[start] == "_"):
+                start += 1
+            if host and start < end and not _MACHINE.fullmatch(t, start, end):
+                yield "email", start, host.end(), "", "", "", 1, ""
 
     def numbers(self, t: str):
         for m in _NUMBER.finditer(t):
@@ -176,13 +185,13 @@ class Scan:
             cut = _TWO_NUMBERS.search(s)
             if cut:
                 continue
-            digits = re.sub(r"\D", "", s)
-            if not 7 <= len(digits) <= 15 and not s[0].isalpha():
+            if not 7 <= sum(map(str.isdigit, s)) <= 15 and not s[0].isalpha():
                 continue
-            mask = re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s))
-            left = _words_before(t, a, 8)
-            told = _IDENTITY_WORDS.search(left[left.rfind("9") + 1 :]) is not None
-            yield "number", a, a + len(s), re.sub(r"\W", "", s), mask, " ".join(left.split()[-2:]), int(told), left.split()[-1] if left else ""
+            mask = s.translate(_MASK)
+            words = _words_before(t, a, 8)
+            told = _IDENTITY_WORDS.search(words, words.rfind("9") + 1) is not None
+            left = words.split(" ")[-2:]
+            yield "number", a, a + len(s), _SIGNS.sub("", s), mask, " ".join(left), int(told), left[-1]
 
     def streets(self, t: str):
         for m in _HOUSE_FIRST.finditer(t):
@@ -208,7 +217,7 @@ class Scan:
             words = m[1].replace("\n", " ").split(" ")
             low = [w.lower() for w in words]
             first = next((i for i, w in enumerate(low) if w in STREET_FIRST), None)
-            if low[-1] in FLATS:
+            if low[-1] in NO_STREET:
                 continue
             # With a type word the address begins there, else with the last word.
             i = first if first is not None else len(words) - 1
@@ -224,11 +233,8 @@ class Scan:
     def names(self, t: str):
         known = self.known
         done = 0
-        for m in _WORD.finditer(t):
-            if m.start() < done or not known(m[0].lower()):
-                continue
-            a, b = m.span()
-            if a and t[a - 1] in ".@_-+":
+        for a, b in sorted(self._places(t)):
+            if a < done or (a and t[a - 1] in ".@_-+"):
                 continue
             after = self._after(t, a, b)
             if after and after[4] == "plain":
@@ -241,8 +247,22 @@ class Scan:
             if m[1][0].isupper() and m[3][0].isupper() and not known(_words_before(t, m.start(), 1)):
                 yield "name", m.start(), m.end(), m[3].lower(), m[1][0].lower() + ".", _words_before(t, m.start(), 1), 0, "initial"
         for m in _INITIAL_LAST.finditer(t):
-            if m[2][0].isupper() and m[3][0].isupper():
-                yield "name", m.start(), m.end(), m[2].lower(), m[3][0].lower() + ".", _words_before(t, m.start(), 1), 0, "initial"
+            left = t[max(0, m.start() - 60) : m.start()]
+            n = _LAST_NAME.search(left)
+            if n and n[2][0].isupper() and m[1][0].isupper():
+                start = m.start() - len(left) + n.start()
+                yield "name", start, m.end(), n[2].lower(), m[1][0].lower() + ".", _words_before(t, start, 1), 0, "initial"
+
+    def _places(self, t: str):
+        """Where words stand that may be given names; each different word of the text is looked up once."""
+        for w in set(_WORD.findall(t)):
+            if self.known(w.lower()):
+                a = t.find(w)
+                while a >= 0:
+                    b = a + len(w)
+                    if not (a and (t[a - 1].isalpha() or t[a - 1] == "-")) and not (t[b : b + 1].isalpha() or t[b : b + 1] == "-"):
+                        yield a, b
+                    a = t.find(w, b)
 
     def _after(self, t: str, a: int, b: int):
         m = _AFTER.match(t, b)
