@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; an expression used inside a lambda is else computed per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def a_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -46,7 +51,12 @@ def a_median(x: Column) -> Column:
 
 def a_mad(x: Column, median: Column) -> Column:
     """Median absolute deviation from a median that is known already; not scaled."""
-    return a_median(F.transform(x, lambda v: F.abs(v - median)))
+    return a_median(let(median, lambda m: F.transform(x, lambda v: F.abs(v - m))))
+
+
+def levelled(x: Column) -> Column:
+    """x minus its median."""
+    return let(a_median(x), lambda m: F.transform(x, lambda v: v - m))
 
 
 def a_diff(x: Column) -> Column:
@@ -84,19 +94,21 @@ def edge_trim(x: Column, fraction: float) -> Column:
 
 def scale_mad(x: Column, median: Column, mad: Column) -> Column:
     """(x - median) / mad; a mad that is missing or not above 0 counts as 1."""
-    d = F.when(mad > 0, mad).otherwise(F.lit(1.0))
-    return F.transform(x, lambda v: (v - median) / d)
+    scale = F.struct(median.alias("m"), F.when(mad > 0, mad).otherwise(F.lit(1.0)).alias("d"))
+    return let(scale, lambda p: F.transform(x, lambda v: (v - p["m"]) / p["d"]))
 
 
 def scale_before(x: Column, median: Column, mad: Column, floor: Column, k: float = 6.0) -> Column:
     """To 0..1 over median plus and minus k mad, clipped; mad is at least floor."""
-    m = F.greatest(mad, floor)
-    return F.transform(x, lambda v: F.least(F.greatest((v - (median - m * k)) / (m * (2 * k)), F.lit(0.0)), F.lit(1.0)))
+    scale = F.struct(median.alias("m"), F.greatest(mad, floor).alias("d"))
+    return let(scale, lambda p: F.transform(x, lambda v: F.least(F.greatest((v - (p["m"] - p["d"] * k)) / (p["d"] * (2 * k)), F.lit(0.0)), F.lit(1.0))))
 
 
 def scale_range(x: Column, low: Column, high: Column) -> Column:
     """To 0..1 over low..high, clipped; 0 where the range is empty."""
-    return F.transform(x, lambda v: F.when(high > low, F.least(F.greatest((v - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0)))
+    ends = F.struct(low.alias("a"), high.alias("b"))
+    part = lambda v, p: F.least(F.greatest((v - p["a"]) / (p["b"] - p["a"]), F.lit(0.0)), F.lit(1.0))
+    return let(ends, lambda p: F.transform(x, lambda v: F.when(p["b"] > p["a"], part(v, p)).otherwise(F.lit(0.0))))
 
 
 def resample_lerp(x: Column, n: int) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evaluation, manifest, reach, signals, skewed
+from . import evaluation, manifest, models, reach, signals, skewed, streams
 
-MODULES = [skewed, reach, manifest, signals, evaluation]
+MODULES = [skewed, reach, manifest, signals, evaluation, models, streams]
 
 
 def queries() -> dict[str, Callable]:
