@@ -126,9 +126,10 @@ _SIGNS = re.compile(r"\W")
 _TWO_NUMBERS = re.compile(r"  +|[ ][-/(]?[ ]")
 
 _IDENTITY_WORDS = re.compile(r"steuer-id|steuernummer|security|sécurité sociale|identidad|\bdni\b|\bnif\b|\bnie\b|passport|insurance number")
+_FLAT = re.compile(r"(?:Flat|FLAT|flat|Apt\.?|Unit|Suite)[ \n]\d{1,4},?[ \n]\Z")
+#: Begins with a digit, so that the search skips the rest; what stands before is looked at afterwards.
 _HOUSE_FIRST = re.compile(
-    rf"(?<![\w.:/-])((?:Flat|FLAT|flat|Apt\.?|Unit|Suite)[ \n]\d{{1,4}},?[ \n])?(\d{{1,4}}[a-zA-Z]?)((?:[ \n](?:bis|ter|quater|BIS|TER))?,?[ \n])"
-    rf"((?:{_LETTER}[\w'’.-]*)(?:[ \n]{_LETTER}[\w'’-]*\.?){{1,5}})"
+    rf"\d+[a-zA-Z]?(?:[ \n](?:bis|ter|quater|BIS|TER))?,?[ \n]((?:{_LETTER}[\w'’.-]*)(?:[ \n]{_LETTER}[\w'’-]*\.?){{1,5}})"
 )
 _HOUSE_LAST = re.compile(
     r"(?<![\w-])((?:[^\W\d_a-z][\w'’./-]*)(?:[ \n](?:de|del|la|las|los|el|der|den|dem|am|im|zur|zum|an|[^\W\d_a-z][\w'’-]*)){0,4}),?[ \n]"
@@ -141,17 +142,27 @@ _PARTICLE = "|".join(PARTICLES)
 _WORD = re.compile(_NAME)
 _AFTER = re.compile(rf"\s(?:({_LETTER})\.\s)?((?:(?i:{_PARTICLE})\s)?)({_NAME})")
 _BEFORE = re.compile(rf"(?<![^\W_])((?:(?i:{_PARTICLE})\s)?)({_NAME})(,?)\s\Z")
-_INITIAL = re.compile(rf"(?<![\w.@-])({_LETTER}\.\s)((?:(?:{_PARTICLE})\s)?)({_NAME})")
+_DOT_SPACE = re.compile(r"\.\s")
+_AFTER_INITIAL = re.compile(rf"((?:(?:{_PARTICLE})\s)?)({_NAME})")
 _INITIAL_LAST = re.compile(rf",\s({_LETTER}\.)")
 _LAST_NAME = re.compile(rf"(?<![\w@-])((?:(?:{_PARTICLE})\s)?)({_NAME})\Z")
 
 
-_BREAKS = str.maketrans({"\n": " ¶ ", "<": " ¶ ", ">": " ¶ ", **{d: "9" for d in "012345678"}})
+_DIGIT = re.compile(r"[0-8]")
 
 
-def _words_before(text: str, at: int, n: int) -> str:
-    """The n words before a position, digits as 9; ends of lines and tags are words."""
-    return " ".join(text[max(0, at - 60) : at].translate(_BREAKS).lower().split()[-n:])
+def _words_before(text: str, at: int, n: int, span: int = 60) -> str:
+    """The n words before a position, of so many characters at most, digits as 9; ends of lines and tags are words."""
+    left = text[max(0, at - span) : at].replace("\n", " ¶ ").replace("<", " ¶ ").replace(">", " ¶ ").lower().split()[-n:]
+    return _DIGIT.sub("9", " ".join(left))
+
+
+# Number masks that are certain by their form, and words that announce an identity number.
+PHONE_MASK = r"^\(?\+"
+IDENTITY_MASK = "^(AA ?99 ?99 ?99 ?A|99999999[ -]?A|A-?9999999-?A)$"
+OTHER_MASK = r"^(9{4}-9{2,4}-9{2,4}|9{1,3}(\.9{1,3}){1,3}|9{4}-9{1,2}-9{1,2}|9{1,2}[/-]9{1,2}[/-]9{2,4}( .*)?|9{1,6})$"
+OTHER_LEFT = "esmtp id$"
+_OTHER = re.compile(OTHER_MASK)
 
 
 class Scan:
@@ -188,14 +199,20 @@ class Scan:
             if not 7 <= sum(map(str.isdigit, s)) <= 15 and not s[0].isalpha():
                 continue
             mask = s.translate(_MASK)
-            words = _words_before(t, a, 8)
-            told = _IDENTITY_WORDS.search(words, words.rfind("9") + 1) is not None
-            left = words.split(" ")[-2:]
+            if _OTHER.match(mask):
+                told, left = False, _words_before(t, a, 2, 30).split(" ")
+            else:
+                words = _words_before(t, a, 8)
+                told = _IDENTITY_WORDS.search(words, words.rfind("9") + 1) is not None
+                left = words.split(" ")[-2:]
             yield "number", a, a + len(s), _SIGNS.sub("", s), mask, " ".join(left), int(told), left[-1]
 
     def streets(self, t: str):
         for m in _HOUSE_FIRST.finditer(t):
-            words = m[4].replace("\n", " ").split(" ")
+            a = m.start()
+            if (a and (t[a - 1].isalnum() or t[a - 1] in "_.:/-")) or (t[a + 3 : a + 5].isdigit() and t[a + 4 : a + 5]):
+                continue
+            words = m[1].replace("\n", " ").split(" ")
             low = [w.lower() for w in words]
             if low[0] in STREET_FIRST:  # type first: it ends with the last word that isn't a particle
                 n = max([i + 1 for i, w in enumerate(words) if i and not w.islower()] or [0])
@@ -211,8 +228,10 @@ class Scan:
                     continue
                 kind = low[n - 1].rstrip(".")
             street = " ".join(low[:n]).rstrip(".")
-            end = m.start(4) + len(" ".join(words[:n]))
-            yield "address", m.start(), end, street, f"first {kind}", _words_before(t, m.start(), 1), int(self._town(t, end)), ""
+            end = m.start(1) + len(" ".join(words[:n]))
+            flat = _FLAT.search(t, max(0, a - 14), a) if t[a - 1 : a].isspace() else None
+            a = flat.start() if flat else a
+            yield "address", a, end, street, f"first {kind}", _words_before(t, a, 1, 30), int(self._town(t, end)), ""
         for m in _HOUSE_LAST.finditer(t):
             words = m[1].replace("\n", " ").split(" ")
             low = [w.lower() for w in words]
@@ -223,7 +242,7 @@ class Scan:
             i = first if first is not None else len(words) - 1
             kind = low[i] if first is not None else "…" + low[i][-5:]
             a = m.start(1) + len(" ".join(words[:i])) + (1 if i else 0)
-            yield "address", a, m.end(), " ".join(low[i:]), f"last {kind}", _words_before(t, a, 1), int(self._town(t, m.end())), ""
+            yield "address", a, m.end(), " ".join(low[i:]), f"last {kind}", _words_before(t, a, 1, 30), int(self._town(t, m.end())), ""
 
     @staticmethod
     def _town(t: str, end: int) -> bool:
@@ -242,16 +261,20 @@ class Scan:
             else:
                 found = [x for x in (self._before(t, a, b, done), after) if x]
             for start, end, given, family, style in found:
-                yield "name", start, end, family, given, _words_before(t, start, 1), 0, style
-        for m in _INITIAL.finditer(t):
-            if m[1][0].isupper() and m[3][0].isupper() and not known(_words_before(t, m.start(), 1)):
-                yield "name", m.start(), m.end(), m[3].lower(), m[1][0].lower() + ".", _words_before(t, m.start(), 1), 0, "initial"
+                yield "name", start, end, family, given, _words_before(t, start, 1, 30), 0, style
+        for m in _DOT_SPACE.finditer(t):
+            a = m.start() - 1
+            if a < 0 or not t[a].isupper() or (a and (t[a - 1].isalnum() or t[a - 1] in "_.@-")):
+                continue
+            n = _AFTER_INITIAL.match(t, m.end())
+            if n and n[2][0].isupper() and not known(_words_before(t, a, 1, 30)):
+                yield "name", a, n.end(), n[2].lower(), t[a].lower() + ".", _words_before(t, a, 1, 30), 0, "initial"
         for m in _INITIAL_LAST.finditer(t):
             left = t[max(0, m.start() - 60) : m.start()]
             n = _LAST_NAME.search(left)
             if n and n[2][0].isupper() and m[1][0].isupper():
                 start = m.start() - len(left) + n.start()
-                yield "name", start, m.end(), n[2].lower(), m[1][0].lower() + ".", _words_before(t, start, 1), 0, "initial"
+                yield "name", start, m.end(), n[2].lower(), m[1][0].lower() + ".", _words_before(t, start, 1, 30), 0, "initial"
 
     def _places(self, t: str):
         """Where words stand that may be given names; each different word of the text is looked up once."""
@@ -361,13 +384,6 @@ def _bloom_words(given: DataFrame) -> _Words:
     return _Words(np.packbits(bits))
 
 
-# Number masks that are certain by their form, and words that announce an identity number.
-PHONE_MASK = r"^\(?\+"
-IDENTITY_MASK = "^(AA ?99 ?99 ?99 ?A|99999999[ -]?A|A-?9999999-?A)$"
-OTHER_MASK = r"^(9{4}-9{2,4}-9{2,4}|9{1,3}(\.9{1,3}){1,3}|9{4}-9{1,2}-9{1,2}|9{1,2}[/-]9{1,2}[/-]9{2,4}( .*)?|9{1,6})$"
-OTHER_LEFT = "esmtp id$"
-
-
 def mailbox_pairs(docs: DataFrame, text_col: str) -> DataFrame:
     """The different pairs of a given and a family name before a mailbox, and whether its local part has the family name."""
     box = (
