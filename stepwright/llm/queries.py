@@ -116,7 +116,7 @@ SQL: dict[str, str] = {
           from peptide_signals, quantile_requests),
         once as (
           select request_id, field, group_field, quantile, max_rank_error, group_value, read_id, min(x) as x
-          from v where x is not null and not isnan(x) group by all),
+          from v where cast(x as varchar) not like '%nan%' group by all),
         ranked as (
           select *, row_number() over (partition by request_id, group_value order by x) as place,
             count(*) over (partition by request_id, group_value) as n
@@ -125,7 +125,7 @@ SQL: dict[str, str] = {
         from ranked where place = greatest(ceil(quantile * n - 1e-9), 1)""",
     "p3_found": """
         with rows as (
-          select distinct read_id, s, e, case when not isnan(mean) then mean end as mean, case when not isnan(std) then std end as std
+          select distinct read_id, s, e, case when cast(mean as varchar) not like '%nan%' then mean end as mean, case when cast(std as varchar) not like '%nan%' then std end as std
           from step_segments where read_id is not null and s is not null),
         noise as (select read_id, quantile_disc(std, 0.5) as noise from rows where std > 0 group by read_id),
         near as (
