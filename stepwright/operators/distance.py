@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import warp
 from ..functions import arrays as A
 from ..runtime import materialize, ship
+from .ranks import group_quantiles
 
 
 def class_templates(reads: DataFrame, length: int) -> DataFrame:
@@ -37,8 +38,9 @@ def to_template(reads: DataFrame, length: int = 16, band: float = 0.1) -> DataFr
 
 def thresholds(distances: DataFrame, quantile: float = 0.95, least: int = 5) -> DataFrame:
     """Per class the quantile of the distances; null (no limit) for classes of fewer than `least` reads."""
-    q = F.percentile("distance", quantile)
-    return distances.groupBy("class").agg(F.count("distance").alias("n"), F.when(F.count("distance") >= least, q).alias("threshold"), F.max("distance").alias("greatest"))
+    n = distances.groupBy("class").agg(F.count("distance").alias("n"), F.max("distance").alias("greatest"))
+    q = group_quantiles(distances, ["class"], "distance", {"q": quantile})
+    return n.join(q, "class", "left").select("class", "n", F.when(F.col("n") >= least, F.col("q")).alias("threshold"), "greatest")
 
 
 def outliers(distances: DataFrame, limits: DataFrame) -> DataFrame:
@@ -48,6 +50,7 @@ def outliers(distances: DataFrame, limits: DataFrame) -> DataFrame:
 
 def whisker_outliers(distances: DataFrame, reach: float = 1.5, least: int = 5) -> DataFrame:
     """Reads beyond the upper quartile by more than `reach` quartile ranges of their class."""
-    q = distances.groupBy("class").agg(F.count("distance").alias("n"), F.percentile("distance", 0.25).alias("a"), F.percentile("distance", 0.75).alias("b"))
+    n = distances.groupBy("class").agg(F.count("distance").alias("n"))
+    q = group_quantiles(distances, ["class"], "distance", {"a": 0.25, "b": 0.75}).join(n, "class")
     limit = F.col("b") + F.lit(reach) * (F.col("b") - F.col("a"))
     return distances.join(q.where(F.col("n") >= least), "class").where(F.col("distance") > limit).select("read_id", "class", "distance")

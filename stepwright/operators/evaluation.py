@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranks import sum_before
+
 
 def confusion(preds: DataFrame) -> DataFrame:
     """Counts per true and predicted label, those that occur."""
@@ -73,15 +75,14 @@ def summary(classes: DataFrame, cells: DataFrame) -> DataFrame:
 
 def coverage(preds: DataFrame, thresholds: list[float]) -> DataFrame:
     """Share of predictions at least as sure as each threshold, and their accuracy; null where there are none."""
-    right = (F.col("y_true") == F.col("y_pred")).cast("double")
-    each = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    total = preds.agg(F.count("*").alias("total"))
-    # Counted per label and threshold in one pass; a prediction is spread over the few thresholds only.
-    kept = preds.select("confidence", right.alias("right"), each).groupBy("threshold").agg(
-        F.sum((F.col("confidence") >= F.col("threshold")).cast("long")).alias("kept"),
-        F.sum(F.when(F.col("confidence") >= F.col("threshold"), F.col("right")).otherwise(0.0)).alias("hits"),
-    )
-    return kept.crossJoin(F.broadcast(total)).select("threshold", F.try_divide("kept", "total").alias("coverage"), F.try_divide("hits", "kept").alias("accuracy"))
+    right = F.col("y_true") == F.col("y_pred")
+    sums = [F.count("*").alias("total")]
+    for i, t in enumerate(thresholds):
+        sure = F.col("confidence") >= t
+        sums += [F.count_if(sure).alias(f"kept{i}"), F.count_if(sure & right).alias(f"hits{i}")]
+    rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"kept{i}").alias("kept"), F.col(f"hits{i}").alias("hits")) for i, t in enumerate(thresholds)])
+    kept = preds.agg(*sums).select("total", F.explode(rows).alias("r")).select("total", "r.*")
+    return kept.select("threshold", F.try_divide("kept", "total").alias("coverage"), F.try_divide("hits", "kept").alias("accuracy"))
 
 
 def precision_recall(preds: DataFrame) -> DataFrame:
@@ -93,8 +94,9 @@ def precision_recall(preds: DataFrame) -> DataFrame:
     right = (F.col("y_true") == F.col("y_pred")).cast("long")
     points = preds.groupBy(F.col("y_pred").alias("label"), "confidence").agg(F.count("*").alias("n"), F.sum(right).alias("hit"))
     support = preds.groupBy(F.col("y_true").alias("label")).agg(F.count("*").alias("support"))
-    down = W.partitionBy("label").orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, 0)
-    run = points.withColumn("seen", F.sum("n").over(down)).withColumn("hits", F.sum("hit").over(down)).join(support, "label")
+    surest_first = points.withColumn("key", -F.col("confidence"))
+    run = sum_before(surest_first, ["label"], "key", "n").withColumn("seen", F.col("before") + F.col("n")).drop("before")
+    run = sum_before(run, ["label"], "key", "hit").withColumn("hits", F.col("before") + F.col("hit")).join(support, "label")
     return run.select("label", "confidence", (F.col("hits") / F.col("seen")).alias("precision"), (F.col("hits") / F.col("support")).alias("recall"))
 
 

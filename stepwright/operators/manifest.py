@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.names import dataset_key, file_key, run_key
+from .ranks import first_by_hash
 
 # Labels of records without a peptide of their own, and how mixtures are named.
 UNKNOWN = "^(unassigned|dna-blank)$"
@@ -64,11 +65,8 @@ def imbalance(clean: DataFrame, limit: float = 2.0) -> DataFrame:
 
 def stratified_split(clean: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """Of each class round(share * n) entries for validation, drawn by a hash: (entry_id, class, part)."""
-    order = W.partitionBy("class").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("entry_id").cast("string"))), "entry_id")
-    sizes = clean.groupBy("class").agg(F.count("*").alias("n"))
-    placed = clean.select("entry_id", "class").withColumn("place", F.row_number().over(order))
-    joined = placed.join(sizes, placed["class"].eqNullSafe(sizes["class"])).select("entry_id", placed["class"], "place", "n")
-    return joined.select("entry_id", "class", F.when(F.col("place") <= F.round(F.col("n") * share), "validation").otherwise("train").alias("part"))
+    picked = first_by_hash(clean, "class", "entry_id", F.round(F.col("n") * share), seed)
+    return picked.select("entry_id", "class", F.when(F.col("picked"), "validation").otherwise("train").alias("part"))
 
 
 def label_group(label: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import run_key
+from .ranks import group_quantiles
 
 
 def reports_once(rows: DataFrame) -> DataFrame:
@@ -50,7 +51,9 @@ def drop_off(fractions: DataFrame, thresholds: list[int], by: list[str]) -> Data
     long = fractions.unpivot(["run", "reference"], [f"p_ge_{t}" for t in thresholds], "name", "p").withColumn(
         "threshold", F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
     )
-    return long.groupBy(*by, "threshold").agg(F.median("p").alias("median_fraction"), F.count("*").alias("n_runs"))
+    keys = [*by, "threshold"]
+    n = long.groupBy(*keys).agg(F.count("*").alias("n_runs"))
+    return group_quantiles(long, keys, "p", {"median_fraction": 0.5}).join(n, keys)
 
 
 def directions(reports: DataFrame, threshold: int) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .ranks import average_ranks, group_quantiles, join_groups, sum_before
 
 
 def long_features(frame: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -15,9 +16,10 @@ def long_features(frame: DataFrame, ids: list[str], features: list[str]) -> Data
 
 def class_summary(long: DataFrame) -> DataFrame:
     """Per class and feature: n, median, mean, sample deviation (null for one value) and extreme quantiles."""
-    return long.groupBy("class", "feature").agg(
-        F.count("*").alias("n"), F.median("v").alias("median"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.percentile("v", 0.9).alias("q90"), F.percentile("v", 0.99).alias("q99"), F.min("v").alias("least"), F.max("v").alias("greatest")
-    )
+    by = ["class", "feature"]
+    moments = long.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    places = group_quantiles(long, by, "v", {"median": 0.5, "q90": 0.9, "q99": 0.99})
+    return join_groups(moments, places, by)
 
 
 def anova(long: DataFrame) -> DataFrame:
@@ -34,14 +36,6 @@ def anova(long: DataFrame) -> DataFrame:
     return sums.select("feature", "k", "n", f.alias("f"))
 
 
-def average_ranks(long: DataFrame, by: list[str]) -> DataFrame:
-    """Ranks of v within by, ties at their average: ranks are summed over different values, counted first."""
-    counts = long.groupBy(*by, "v").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(W.partitionBy(*by).orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("rank", before + (F.col("c") + 1) / 2).drop("c")
-    return long.join(ranks, [*by, "v"])
-
-
 def spearman(frame: DataFrame, id_col: str, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rank correlation of pairs of columns over the rows where both are finite: (a, b, n, rho).
 
@@ -52,8 +46,7 @@ def spearman(frame: DataFrame, id_col: str, pairs: list[tuple[str, str]]) -> Dat
         ok = F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)
         cells.append(F.when(ok, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))))
     long = frame.select(F.col(id_col).alias("id"), F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("id", "c.*")
-    rx = average_ranks(long.select("id", "a", "b", F.col("x").alias("v"), "y"), ["a", "b"]).withColumnRenamed("rank", "rx").drop("v")
-    both = average_ranks(rx.withColumnRenamed("y", "v"), ["a", "b"]).withColumnRenamed("rank", "ry")
+    both = average_ranks(average_ranks(long, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
     sums = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("cov"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
     rho = F.when((F.col("n") >= 3) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("cov") / F.sqrt(F.col("vx") * F.col("vy")))
     return sums.select("a", "b", "n", rho.alias("rho"))
@@ -75,9 +68,9 @@ def mann_whitney(long: DataFrame, reference: str, least: int = 5) -> DataFrame:
         .groupBy("feature", "class", "v")
         .agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
     )
-    before = F.coalesce(F.sum(F.col("ca") + F.col("cb")).over(W.partitionBy("feature", "class").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     t = F.col("ca") + F.col("cb")
-    ranked = counts.withColumn("rank", before + (t + 1) / 2).withColumn("tie", (t * t * t - t).cast("double"))
+    run = sum_before(counts.withColumn("t", t), ["feature", "class"], "v", "t")
+    ranked = run.withColumn("rank", F.col("before") + (t + 1) / 2).withColumn("tie", (t * t * t - t).cast("double"))
     s = ranked.groupBy("feature", "class").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"), F.sum(F.col("ca") * F.col("rank")).alias("ra"), F.sum("tie").alias("ties")).where((F.col("na") >= least) & (F.col("nb") >= least))
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
     n = na + nb
@@ -89,10 +82,11 @@ def mann_whitney(long: DataFrame, reference: str, least: int = 5) -> DataFrame:
 
 def benjamini_hochberg(tests: DataFrame, p_col: str, alpha: float = 0.05) -> DataFrame:
     """tests with passed: whether p is at most the greatest p that lies below its rank's part of alpha."""
-    n = tests.where(F.col(p_col).isNotNull()).agg(F.count("*").alias("n_tests"))
-    counts = tests.where(F.col(p_col).isNotNull()).groupBy(F.col(p_col).alias("p")).agg(F.count("*").alias("c"))
-    rank = F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, 0))
-    limit = counts.withColumn("rank", rank).crossJoin(F.broadcast(n)).where(F.col("p") <= F.col("rank") / F.col("n_tests") * alpha).agg(F.max("p").alias("limit"))
+    known = tests.where(F.col(p_col).isNotNull())
+    n = known.agg(F.count("*").alias("n_tests"))
+    counts = known.groupBy(F.col(p_col).alias("p")).agg(F.count("*").alias("c"))
+    rank = F.col("before") + F.col("c")
+    limit = sum_before(counts, [], "p", "c").crossJoin(F.broadcast(n)).where(F.col("p") <= rank / F.col("n_tests") * alpha).agg(F.max("p").alias("limit"))
     return tests.crossJoin(F.broadcast(limit)).withColumn("passed", F.coalesce(F.col(p_col) <= F.col("limit"), F.lit(False))).drop("limit")
 
 

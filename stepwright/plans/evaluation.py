@@ -117,7 +117,7 @@ _P = """with firsts as (select *, row_number() over (partition by read_id order
 """
 _F = """with frow as (select *, row_number() over (partition by read_id order by computed_at, median_slope nulls first) as k from feature_frame where read_id is not null),
   prow as (select *, row_number() over (partition by read_id order by received_at, run_name nulls first, class nulls first) as k from peptide_signals where read_id is not null),
-  f as (select f.read_id, class, """ + ", ".join(f"nullif(f.{c}, 'nan'::double) as {c}" for c in FEATURES) + """ from frow f join prow p on p.read_id = f.read_id where f.k = 1 and p.k = 1),
+  f as (select f.read_id, class, """ + ", ".join(f"case when cast(f.{c} as varchar) not like '%nan%' then f.{c} end as {c}" for c in FEATURES) + """ from frow f join prow p on p.read_id = f.read_id where f.k = 1 and p.k = 1),
   long as (""" + " union all ".join(f"select read_id, class, '{c}' as feature, {c} as v from f where isfinite({c})" for c in FEATURES) + ")\n"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import features as X
+from ..operators.ranks import group_quantiles, join_groups
 from ..sources import signals as S
 from ..runtime import table
 from .reach import r6
@@ -63,22 +64,26 @@ def reads_length_stats(spark, d):
 
 def reads_run_stats(spark, d):
     """Robust statistics of the calibrated reads of each run."""
-    med, mad = _finite("global_median"), _finite("global_mad")
-    out = _reads(spark, d).groupBy("run_name").agg(F.count("*").alias("n_reads"), F.count(med).alias("n_calibrated"), F.median(med).alias("median"), F.median(mad).alias("mad"), F.min(med).alias("least"), F.max(med).alias("greatest"))
+    reads = _reads(spark, d).select("run_name", _finite("global_median").alias("med"), _finite("global_mad").alias("dev"))
+    base = reads.groupBy("run_name").agg(F.count("*").alias("n_reads"), F.count("med").alias("n_calibrated"), F.min("med").alias("least"), F.max("med").alias("greatest"))
+    out = base
+    for col, name in (("med", "median"), ("dev", "mad")):
+        out = join_groups(out, group_quantiles(reads, ["run_name"], col, {name: 0.5}), ["run_name"], "left")
     return _rounded(out)
 
 
 def reads_train_stats(spark, d):
     """Statistics of the pooled samples of all reads: of the training data's normalisation."""
     v = _reads(spark, d).select(F.explode("x").alias("v"))
-    out = v.agg(F.count("*").alias("n"), F.median("v").alias("median"), F.percentile("v", 0.001).alias("p0_1"), F.percentile("v", 0.01).alias("p1"), F.percentile("v", 0.99).alias("p99"), F.percentile("v", 0.999).alias("p99_9"), F.min("v").alias("least"), F.max("v").alias("greatest"))
-    return _rounded(out)
+    ends = v.agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    places = group_quantiles(v, [], "v", {"median": 0.5, "p0_1": 0.001, "p1": 0.01, "p99": 0.99, "p99_9": 0.999})
+    return _rounded(ends.crossJoin(F.broadcast(places)))
 
 
 def reads_histogram(spark, d):
     """Samples per class in 30 bins over the pooled 1st to 99th percentile; values beyond are left out."""
     v = _reads(spark, d).select("class", F.explode("x").alias("v"))
-    edge = v.agg(F.percentile("v", 0.01).alias("low"), F.percentile("v", 0.99).alias("high"))
+    edge = group_quantiles(v, [], "v", {"low": 0.01, "high": 0.99})
     width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     b = F.least(F.floor((F.col("v") - F.col("low")) * 30 / width), F.lit(29))
     return v.crossJoin(F.broadcast(edge)).where("v between low and high").groupBy("class", b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
