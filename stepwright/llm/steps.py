@@ -99,18 +99,18 @@ def collapse_steps(
     clean = (
         steps.select("read_id", "s", "e", F.nanvl("mean", F.lit(None)).alias("mean"), F.nanvl("std", F.lit(None)).alias("std"))
         .where("read_id is not null and s is not null")
-        .withColumn("chunk", F.floor(F.col("s") / chunk))
+        .withColumn("chunk", F.floor(F.col("s") / chunk).cast("int"))
+        # One shuffle serves the removal of repeated rows, the lists per chunk and, by its reuse, the noise.
+        .repartition("read_id", "chunk")
         .distinct()
     )
     per_read = clean.groupBy("read_id").agg(
         F.percentile_approx(F.when(F.col("std") > 0, F.col("std")), 0.5, 10000).alias("noise"),
         (F.min("chunk") == F.max("chunk")).alias("single"),
     )
-    lists = (
-        clean.where("mean is not null")
-        .groupBy("read_id", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("s", F.coalesce("e", "s").alias("e"), "mean"))).alias("steps"))
-    )
+    # Steps without mean leave inside the aggregate: a filter would go below the shuffle and make it another one.
+    step = F.when(F.col("mean").isNotNull(), F.struct("s", F.coalesce("e", "s").alias("e"), "mean"))
+    lists = clean.groupBy("read_id", "chunk").agg(F.array_sort(F.collect_list(step)).alias("steps")).where("size(steps) > 0")
     noise = F.coalesce(F.col("noise") * factor, F.lit(0.0))
     runs = materialize(
         lists.join(per_read, "read_id")
