@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evaluation, manifest, models, reach, signals, skewed, streams
+from . import evaluation, manifest, models, reach, regions, signals, skewed, streams
 
-MODULES = [skewed, reach, manifest, signals, evaluation, models, streams]
+MODULES = [skewed, reach, manifest, signals, evaluation, models, regions, streams]
 
 
 def queries() -> dict[str, Callable]:
