@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..runtime import materialize
+
 #: Blocks that a group's values are cut into.
 BLOCKS = 128
 
@@ -24,13 +26,16 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(right, cond, how).drop(*[f"_key_{k}" for k in keys])
 
 
-def sum_before(rows: DataFrame, by: list[str], value: str, weight: str, blocks: int = BLOCKS) -> DataFrame:
+def sum_before(rows: DataFrame, by: list[str], value: str, weight: str, blocks: int = BLOCKS, written: bool = False) -> DataFrame:
     """rows with before: the sum of weight over the rows of the same group with smaller values.
 
-    rows has one row per group and value; groups may be null. value is a number without NaN.
+    rows has one row per group and value; groups may be null. value is a number without NaN. It is read
+    several times, so it is written first, unless it is a written table already.
     """
+    if not written:
+        rows = materialize(rows, "counts")
     if not by:
-        return sum_before(rows.withColumn("_all", F.lit(1)), ["_all"], value, weight, blocks).drop("_all")
+        return sum_before(rows.withColumn("_all", F.lit(1)), ["_all"], value, weight, blocks, True).drop("_all")
     cuts = [i / blocks for i in range(1, blocks)]
     bounds = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, cuts, 4 * blocks)).alias("_cuts"))
     placed = (
@@ -51,7 +56,8 @@ def group_quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str,
     Null and NaN values don't count; groups without others have no row. Null groups are groups.
     """
     counts = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    run = sum_before(counts, by, "_v", "_n")
+    counts = materialize(counts, "counts")
+    run = sum_before(counts, by, "_v", "_n", written=True)
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_total")) if by else counts.agg(F.sum("_n").alias("_total"))
     near = join_groups(run, total, by) if by else run.crossJoin(F.broadcast(total))
     aggs = []

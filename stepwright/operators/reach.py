@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import run_key
+from ..runtime import materialize
 from .ranks import group_quantiles
 
 
@@ -52,6 +53,7 @@ def drop_off(fractions: DataFrame, thresholds: list[int], by: list[str]) -> Data
         "threshold", F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
     )
     keys = [*by, "threshold"]
+    long = materialize(long, "fractions")
     n = long.groupBy(*keys).agg(F.count("*").alias("n_runs"))
     return group_quantiles(long, keys, "p", {"median_fraction": 0.5}).join(n, keys)
 

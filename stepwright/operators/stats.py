@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .ranks import average_ranks, group_quantiles, join_groups, sum_before
 
 
@@ -46,6 +47,7 @@ def spearman(frame: DataFrame, id_col: str, pairs: list[tuple[str, str]]) -> Dat
         ok = F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)
         cells.append(F.when(ok, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))))
     long = frame.select(F.col(id_col).alias("id"), F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("id", "c.*")
+    long = materialize(long, "pairs")
     both = average_ranks(average_ranks(long, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
     sums = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("cov"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
     rho = F.when((F.col("n") >= 3) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("cov") / F.sqrt(F.col("vx") * F.col("vy")))
@@ -58,6 +60,7 @@ def mann_whitney(long: DataFrame, reference: str, least: int = 5) -> DataFrame:
     Classes with fewer than `least` values on either side have no row. Ranks are those of the two
     classes together, computed from counts of different values.
     """
+    long = materialize(long.where("class is not null"), "values")
     mine = long.where(F.col("class") == reference).select("feature", "v")
     others = long.where((F.col("class") != reference) & F.col("class").isNotNull()).select("feature", "class", "v")
     a = mine.groupBy("feature", "v").agg(F.count("*").alias("ca"))
