@@ -146,6 +146,18 @@ def test_steps_at_the_edges(spark):
     assert steps.collapse_steps(gap, max_gap=2).count() == 2 and steps.collapse_steps(gap, max_gap=3).count() == 1
 
 
+def test_noise_of_long_reads_is_exact(spark):
+    # The std of a read are 1 to n in any order and its means go up and down by height: all merge up to the lower median, none above.
+    reads = {"a": (25_001, 12_501.0), "b": (25_001, 12_502.0), "c": (24_000, 12_000.0), "d": (24_000, 12_001.0), "e": (4096, 2048.0), "f": (4096, 2049.0)}
+    rows = []
+    for k, (n, height) in reads.items():
+        std = random.Random(9).sample(range(1, n + 1), n)
+        rows += [(k, 8 * i, 8 * i + 8, height * (i % 2), float(v), 8, "x") for i, v in enumerate(std)]
+    df = spark.createDataFrame(rows, SEG).repartition(7)
+    got = {r["read_id"]: r["count"] for r in steps.collapse_steps(df).groupBy("read_id").count().collect()}
+    assert got == {k: 1 if k in "ace" else n for k, (n, _) in reads.items()}
+
+
 # sampling ------------------------------------------------------------------------------------------
 
 PLAN = "plan_id int, sample_size bigint, class string, dataset string, target_share double, min_rows bigint"
