@@ -1,4 +1,4 @@
-"""Alignment reports as a stream: late and repeated deliveries, windows by time of report, running state per run."""
+"""Alignment reports as a stream: late and repeated deliveries, counts by day of report, running state per run."""
 
 from __future__ import annotations
 
@@ -12,8 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..runtime import shared_dir, ship
 
-#: Rows that come in later than this after their peers are given up.
-LATE = "60 days"
+#: State is kept on the executors' disks, with so much memory of each, not in their heaps.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 def report_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -28,14 +32,18 @@ def report_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) ->
 
 
 def once(stream: DataFrame) -> DataFrame:
-    """Each report once: repeated deliveries are dropped as long as the state remembers the first."""
-    return stream.withWatermark("reported_at", LATE).dropDuplicatesWithinWatermark(["row_id"])
+    """Each report once, however late and in whatever order of files it comes.
+
+    There is no watermark: it would give up reports that are older than those of earlier files. The
+    state is one row_id per report and is kept on disk (see drain).
+    """
+    return stream.dropDuplicates(["row_id"])
 
 
 def daily_counts(stream: DataFrame) -> DataFrame:
-    """Reports and reads per UTC day of report and reference."""
-    by = F.window("reported_at", "1 day").alias("w")
-    return once(stream).groupBy(by, "reference").agg(F.count("*").alias("n_reports"), F.sum("count").alias("n_reads")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "reference", "n_reports", "n_reads")
+    """Reports and reads per UTC day of report and reference; reports without a time are a day of their own (null)."""
+    day = F.date_format("reported_at", "yyyy-MM-dd").alias("day")
+    return once(stream).groupBy(day, "reference").agg(F.count("*").alias("n_reports"), F.sum("count").alias("n_reads"))
 
 
 def running_totals(stream: DataFrame) -> DataFrame:
@@ -57,6 +65,8 @@ def running_totals(stream: DataFrame) -> DataFrame:
 def drain(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     """Run a stream over what there is now and return its last result per key, from a table in the shared folder."""
     spark = stream.sparkSession
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     root = f"{shared_dir(spark)}/stepwright/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
