@@ -126,6 +126,8 @@ _SIGNS = re.compile(r"\W")
 _TWO_NUMBERS = re.compile(r"  +|[ ][-/(]?[ ]")
 
 _IDENTITY_WORDS = re.compile(r"steuer-id|steuernummer|security|sécurité sociale|identidad|\bdni\b|\bnif\b|\bnie\b|passport|insurance number")
+#: Every one of them has such a piece within a word.
+_IDENTITY_HINT = re.compile(r"steuer-id|steuernummer|security|sociale|identidad|dni|nif|nie|passport|number")
 _FLAT = re.compile(r"(?:Flat|FLAT|flat|Apt\.?|Unit|Suite)[ \n]\d{1,4},?[ \n]\Z")
 #: Begins with a digit, so that the search skips the rest; what stands before is looked at afterwards.
 _HOUSE_FIRST = re.compile(
@@ -188,18 +190,19 @@ class Scan:
                 yield "email", start, host.end(), "", "", "", 1, ""
 
     def numbers(self, t: str):
-        for m in _NUMBER.finditer(t):
-            s, a = m[1], m.start(1)
+        at = 0
+        while m := _NUMBER.search(t, at):
+            s, a, at = m[1], m.start(1), m.end()
+            cut = _TWO_NUMBERS.search(s)
+            if cut:  # the search goes on behind the sign, as the match may end within the second number
+                s, at = s[: cut.start()], a + cut.end()
             s = s.rstrip(" (./-")
             if s[0] == "(" and s.count("(") > s.count(")"):
                 s, a = s[1:], a + 1
-            cut = _TWO_NUMBERS.search(s)
-            if cut:
-                continue
             if not 7 <= sum(map(str.isdigit, s)) <= 15 and not s[0].isalpha():
                 continue
             mask = s.translate(_MASK)
-            if _OTHER.match(mask):
+            if _OTHER.match(mask) and not _IDENTITY_HINT.search(t[max(0, a - 60) : a].lower()):
                 told, left = False, _words_before(t, a, 2, 30).split(" ")
             else:
                 words = _words_before(t, a, 8)
@@ -236,7 +239,7 @@ class Scan:
             words = m[1].replace("\n", " ").split(" ")
             low = [w.lower() for w in words]
             first = next((i for i, w in enumerate(low) if w in STREET_FIRST), None)
-            if low[-1] in NO_STREET:
+            if low[-1] in (NO_STREET if first is None else FLATS):
                 continue
             # With a type word the address begins there, else with the last word.
             i = first if first is not None else len(words) - 1

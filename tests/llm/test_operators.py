@@ -314,6 +314,22 @@ def test_identifiers_are_discovered_by_their_context(spark):
     assert {k for k, _ in first} == {"name", "email", "phone", "address", "identity"} and len(first) == 7
 
 
+def test_scan_cuts_no_cases(spark):
+    scan = pii.Scan(lambda w: False)
+    told = lambda s: [(s[c[1] : c[2]], c[6]) for c in scan(s) if c[0] == "number"]
+    assert told("passport 123.456.789") == [("123.456.789", 1)] and told("insurance  number 1234-56-7890") == [("1234-56-7890", 1)]
+    assert told("order number 1234-56-7890") == [("1234-56-7890", 0)]
+    pairs = ["020 7946 0000 / 020 7946 0001", "020 7946 0000 - 020 7946 0001", "020 7946 0000  020 7946 0001"]
+    assert all([n for n, _ in told(f"Call {p}.")] == ["020 7946 0000", "020 7946 0001"] for p in pairs)
+    assert [n for n, _ in told("12 - 020 7946 0000")] == ["020 7946 0000"] and [n for n, _ in told("5551234 / 5551235 / 5551236")] == ["5551234", "5551235", "5551236"]
+    street = lambda s: [s[c[1] : c[2]] for c in scan(s) if c[0] == "address"]
+    assert street("Calle del Mar, 12") == ["Calle del Mar, 12"] and street("Plaza del Mar 4") == ["Plaza del Mar 4"] and street("on Mar 4") == []
+    probes = ["passport 123.456.789", "insurance number 1234-56-7890", "Call me: 020 7946 0993 / 020 7946 0994."]
+    base = archive()
+    _, out = found(spark, base + probes)
+    assert [out.get(len(base) + i) for i in range(3)] == [{("identity", 9)}, {("identity", 17)}, {("phone", 9), ("phone", 25)}]
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "a 😀 b@c.de, +44 20", "z"), (2, None, "z"), (3, "plain", "z")], "doc_id bigint, text string, kind string")
     spans = spark.createDataFrame([(1, "email", 4, 10), (1, "name", 5, 6), (1, "phone", 12, 18)], "doc_id bigint, kind string, start_pos int, end_pos int")
