@@ -438,11 +438,11 @@ def bootstrap(combos: DataFrame, weights: dict[str, float], classes: list[str],
     for _ in range(turns):
         scored = state
         for c in nodes:
-            counts = (
-                state.where("known is not null")
-                .groupBy(c)
-                .agg(*[F.approx_count_distinct(F.when(F.col("known") == k, F.col("instance"))).alias(f"k{i}") if c != "instance" else F.count(F.when(F.col("known") == k, 1)).alias(f"k{i}") for i, k in enumerate(classes)])
-            )
+            # Different instances are counted exactly, in two steps with partial sums; combos of one instance count each.
+            seen = state.where("known is not null")
+            if c != "instance":
+                seen = seen.groupBy(c, "instance", "known").agg(F.count("*").alias("n"))
+            counts = seen.groupBy(c).agg(*[F.count_if(F.col("known") == k).alias(f"k{i}") for i, k in enumerate(classes)])
             total = sum((F.col(f"k{i}") for i in range(len(classes))), F.lit(0))
             shares = counts.where(F.col(c).isNotNull()).select(c, F.array(*[F.col(f"k{i}") / total for i in range(len(classes))]).alias(f"share_{c}"))
             scored = scored.join(shares, c, "left")

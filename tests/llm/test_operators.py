@@ -314,6 +314,15 @@ def test_identifiers_are_discovered_by_their_context(spark):
     assert {k for k, _ in first} == {"name", "email", "phone", "address", "identity"} and len(first) == 7
 
 
+def test_instances_of_a_pattern_are_counted_exactly(spark):
+    # Ten patterns each at the threshold and just below it: 600 or 599 of 1,000 instances are phones. Each has one unknown instance.
+    rows = spark.range(20 * 1001).select((F.col("id") % 20).alias("m"), F.floor(F.col("id") / 20).alias("i"))
+    seed = F.when(F.col("i") == 1000, None).when(F.col("i") < 600 - F.col("m") % 2, "phone").otherwise("other")
+    combos = rows.select(F.concat_ws("-", "m", "i").alias("instance"), F.col("m").cast("string").alias("mask"), seed.alias("seed"))
+    got = pii.bootstrap(combos, {"instance": 1.0, "mask": 2.0}, ["other", "phone"], turns=1).where("seed is null").collect()
+    assert {int(r["mask"]): r["known"] for r in got} == {m: None if m % 2 else "phone" for m in range(20)}
+
+
 def test_scan_cuts_no_cases(spark):
     scan = pii.Scan(lambda w: False)
     told = lambda s: [(s[c[1] : c[2]], c[6]) for c in scan(s) if c[0] == "number"]
