@@ -98,16 +98,20 @@ def _stages():
     return [Imputer(strategy="median", inputCols=FEATURES, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw")]
 
 
-def model_forest_predictions(spark, d, seed: int = 1):
-    """Held-out predictions of a random forest on the features, with the confidence of each."""
-    rows = _vectors(spark, d)
+def _held_out(rows: DataFrame, seed: int) -> tuple[DataFrame, list[str]]:
+    """The held-out fifth of rows with a forest's probabilities, and the labels they stand for; rows of classes that only it has stay."""
     part = F.pmod(F.xxhash64("read_id", F.lit(seed)), F.lit(10))
     train, test = rows.where(part > 1), rows.where(part <= 1)
     forest = RandomForestClassifier(featuresCol="raw", labelCol="label", numTrees=20, maxDepth=6, seed=seed)
-    label = StringIndexer(inputCol="class", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
-    fitted = Pipeline(stages=[label, *_stages(), forest]).fit(train)
-    names = F.array(*[F.lit(v) for v in fitted.stages[0].labels])
-    out = fitted.transform(test)
+    label = StringIndexer(inputCol="class", outputCol="label", stringOrderType="alphabetAsc").fit(train)
+    fitted = Pipeline(stages=[*_stages(), forest]).fit(label.transform(train))
+    return fitted.transform(test), label.labels
+
+
+def model_forest_predictions(spark, d, seed: int = 1):
+    """Held-out predictions of a random forest on the features, with the confidence of each."""
+    out, labels = _held_out(_vectors(spark, d), seed)
+    names = F.array(*[F.lit(v) for v in labels])
     return out.select(F.col("read_id").alias("id"), F.col("class").alias("y_true"), F.get(names, F.col("prediction").cast("int")).alias("y_pred"), F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
@@ -118,15 +122,12 @@ def model_forest_metrics(spark, d):
 
 
 def model_forest_top_k(spark, d, seed: int = 1):
-    """How often the true class is among the first 1, 2 and 3 of a forest fitted to the features."""
-    rows = _vectors(spark, d)
-    label = StringIndexer(inputCol="class", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
-    forest = RandomForestClassifier(featuresCol="raw", labelCol="label", numTrees=20, maxDepth=6, seed=seed)
-    fitted = Pipeline(stages=[label, *_stages(), forest]).fit(rows)
-    names = F.array(*[F.lit(v) for v in fitted.stages[0].labels])
+    """How often the true class of held-out rows is among the first 1, 2 and 3 of a forest fitted to the others."""
+    out, labels = _held_out(_vectors(spark, d), seed)
+    names = F.array(*[F.lit(v) for v in labels])
     probs = F.transform(vector_to_array("probability"), lambda p, i: F.struct((-p).alias("p"), i.alias("i")))
     ranked = F.transform(F.slice(F.array_sort(probs), 1, 3), lambda s: F.get(names, s["i"]))
-    return E.top_k_accuracy(fitted.transform(rows).select(F.col("class").alias("y_true"), ranked.alias("ranked")))
+    return E.top_k_accuracy(out.select(F.col("class").alias("y_true"), ranked.alias("ranked")))
 
 
 def model_kmeans(spark, d, k: int = 8):
