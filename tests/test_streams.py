@@ -24,3 +24,10 @@ def test_shuffled_files_lose_nothing(spark, tmp_path, name):
     r = duck.execute(registry.oracle_sql()[name])
     cols = [d[0] for d in r.description]
     assert rows_of(cols, got.select(*cols).collect()) == rows_of(cols, [dict(zip(cols, x)) for x in r.fetchall()])
+
+
+def test_running_totals_add_up_before_the_shuffle(spark):
+    from stepwright.streaming import reports as R
+
+    plan = R.running_totals(R.report_stream(spark, f"{DATA}/alignment_stats_summary.parquet"))._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "FlatMapGroupsInPandas" not in plan
