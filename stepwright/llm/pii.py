@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
+from ..runtime import discard, materialize, ship
 
 KINDS = ("email", "phone", "identity", "address", "name")
 
@@ -45,14 +45,15 @@ _LETTER = r"[^\W\d_]"
 _NAME = rf"{_LETTER}+(?:['’]{_LETTER}+)?(?:-{_LETTER}+)*"
 
 #: What the view undoes or blanks out: base64 lines, encoded header words, soft line breaks, quoted-printable
-#: bytes, character references, line ends with quote marks, and wrongly decoded UTF-8. Every alternative
-#: begins with a literal, so the search skips from one such character to the next.
-_BASE64 = r"\n(?:[A-Za-z0-9+/]{60,80}(?:\r?\n|\Z))+(?:[A-Za-z0-9+/]{2,80}={0,2}(?=\r?\n|\Z))?"
+#: bytes, character references, line ends with quote marks, and wrongly decoded UTF-8. The pattern begins with
+#: one set of characters, so the search skips from one of them to the next.
+_BASE64 = r"(?:[A-Za-z0-9+/]{60,80}(?:\r?\n|\Z))+(?:[A-Za-z0-9+/]{2,80}={0,2}(?=\r?\n|\Z))?"
 _EDITS = re.compile(
-    rf"{_BASE64}|\r{_BASE64}|\n[>|][>| ]*|\r\n[>| ]*"
-    r"|=\r?\n|=\?[\w-]+\?[bBqQ]\?[^?\s]*(?:\?=)?|=[0-9A-F]{2}(?:=[0-9A-F]{2})*"
-    r"|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});"
-    "|[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ][\x80-\xf4€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]*"
+    "[\n\r=&\xc2-\xf4](?:"
+    rf"(?<=\n)(?:{_BASE64}|[>|][>| ]*)|(?<=\r)\n(?:{_BASE64}|[>| ]*)"
+    r"|(?<==)(?:\r?\n|\?[\w-]+\?[bBqQ]\?[^?\s]*(?:\?=)?|[0-9A-F]{2}(?:=[0-9A-F]{2})*)"
+    r"|(?<=&)(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});"
+    "|(?<=[\xc2-\xf4])[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ][\x80-\xf4€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]*)"
 )
 
 
@@ -110,33 +111,36 @@ def view(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), here, there
 
 
-_SIGN = re.compile(r"@|\[(?:@|at)\] ?|\(at\) ?|at (?=[\w.-]+ dot )")
+_SIGN = re.compile(r"@|\[(?:@|at)\] ?|\(at\) ?")
+_SIGN_OR_WORD = re.compile(_SIGN.pattern + r"|at (?=[\w.-]+ dot )")
 _DOT = r"(?:\.|\[\.\]|\(\.\)| ?\[dot\] ?| ?\(dot\) ?| dot )"
 _HOST = re.compile(rf"[A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9-]*)+")
+_DOTS = re.compile(_DOT)
+_TOP = re.compile(r"\.[a-z]{2,}$")
 #: Message ids are machines' names for messages: digits of base 16, with counters after dots or without.
 _MACHINE = re.compile(r"(?=[a-fA-F]*\d)[0-9a-fA-F]{8,}(?:\.\d+)*")
 
-_NUMBER = re.compile(
-    r"(?<![\w@#+=-])(?<!\d[/.:])"
-    r"([A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z](?!\w)|[XYZ]-?\d{7}-?[A-Z](?!\w)|[+(]{0,2}\d[\d()./ -]{5,24}\d(?:[ -]?[A-Z](?![\w'’]))?)"
-    r"(?![\w@:=]|[.-]\w|/\w)"
-)
+#: Numbers are searched for from their first digit or letter; the signs before it are looked at afterwards.
+_NUMBER = re.compile(r"\d[\d()./ -]{5,24}\d(?:[ -]?[A-Z](?![\w'’]))?(?![\w@:=]|[.-]\w|/\w)")
+_LETTERED = re.compile(r"[A-Z](?:[A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|(?<=[XYZ])-?\d{7}-?[A-Z])(?!\w)(?![@:=]|[.-]\w|/\w)")
+_DIGITS = re.compile(r"\d+")
 _MASK = str.maketrans({**{d: "9" for d in "012345678"}, **{chr(c): "A" for c in range(65, 91)}})
 _SIGNS = re.compile(r"\W")
 _TWO_NUMBERS = re.compile(r"  +|[ ][-/(]?[ ]")
 
 _IDENTITY_WORDS = re.compile(r"steuer-id|steuernummer|security|sécurité sociale|identidad|\bdni\b|\bnif\b|\bnie\b|passport|insurance number")
-#: Every one of them has such a piece within a word.
-_IDENTITY_HINT = re.compile(r"steuer-id|steuernummer|security|sociale|identidad|dni|nif|nie|passport|number")
 _FLAT = re.compile(r"(?:Flat|FLAT|flat|Apt\.?|Unit|Suite)[ \n]\d{1,4},?[ \n]\Z")
 #: Begins with a digit, so that the search skips the rest; what stands before is looked at afterwards.
 _HOUSE_FIRST = re.compile(
-    rf"\d+[a-zA-Z]?(?:[ \n](?:bis|ter|quater|BIS|TER))?,?[ \n]((?:{_LETTER}[\w'’.-]*)(?:[ \n]{_LETTER}[\w'’-]*\.?){{1,5}})"
+    rf"\d++[a-zA-Z]?+(?:[ \n](?:bis|ter|quater|BIS|TER))?,?[ \n]((?=[^\W\d_a-z]|{'|'.join(map(re.escape, STREET_FIRST))})(?:{_LETTER}[\w'’.-]*)(?:[ \n]{_LETTER}[\w'’-]*\.?){{1,5}})"
 )
-_HOUSE_LAST = re.compile(
-    r"(?<![\w-])((?:[^\W\d_a-z][\w'’./-]*)(?:[ \n](?:de|del|la|las|los|el|der|den|dem|am|im|zur|zum|an|[^\W\d_a-z][\w'’-]*)){0,4}),?[ \n]"
-    r"((?:n\.º ?|nº ?|Nr\. ?)?)(\d{1,4} ?[a-z]?)(?![\w:/%])(?![.,-]\d)"
+#: The number that ends a street line, with the blank before it, and the words of the line that end there.
+_HOUSE_LAST = re.compile(r"[ \n]((?:n\.º ?|nº ?|Nr\. ?)?)(\d+ ?[a-z]?)(?![\w:/%])(?![.,-]\d)")
+_STREET_WORD = r"[^\W\d_a-z][\w'’-]*"
+_STREET_WORDS = re.compile(
+    rf"(?<![\w-])((?:[^\W\d_a-z][\w'’./-]*)(?:[ \n](?:de|del|la|las|los|el|der|den|dem|am|im|zur|zum|an|{_STREET_WORD})){{0,4}}),?\Z"
 )
+_STREET_PARTICLES = frozenset("de del la las los el der den dem am im zur zum an".split())
 
 
 _TOWN = re.compile(r"(?:, (?:Apt\. \d+|\d+º \w|bajo))?(?:,[ \n]|</p>\s*<p>|<br>|\n)\d{5}[ \n][^\W\d_]")
@@ -168,13 +172,18 @@ _OTHER = re.compile(OTHER_MASK)
 
 
 class Scan:
-    """Finds the candidates of one text. known tells whether a folded word may be a given name."""
+    """Finds the candidates of one text.
+
+    known tells whether a folded word may be a given name. It may say yes to others: such words only give
+    candidates of their own, which the exact join rejects, and take none away from real names.
+    """
 
     def __init__(self, known):
         self.known = known
+        self.words = _Pieces(known)
 
     def emails(self, t: str):
-        for m in _SIGN.finditer(t):
+        for m in (_SIGN_OR_WORD if " dot " in t else _SIGN).finditer(t):
             host = _HOST.match(t, m.end())
             end = m.start()
             if m[0] != "@" and end and t[end - 1] == " ":
@@ -186,66 +195,111 @@ class Scan:
                 start -= 1
             while start < end and not (t[start].isalnum() or t[start] == "_"):
                 start += 1
-            if host and start < end and not _MACHINE.fullmatch(t, start, end):
-                yield "email", start, host.end(), "", "", "", 1, ""
+            if not host or start >= end:
+                continue
+            local, name, sign = t[start:end].lower(), _DOTS.sub(".", host[0]).lower(), m[0].strip()
+            if _MACHINE.fullmatch(t, start, end):
+                seed, sign, name = 2, "id", "id"  # says nothing about its host
+            else:
+                seed = int((sign == "@" or sign == "at") and _TOP.search(name) is not None)
+            yield "email", start, host.end(), f"{local}@{name}", sign, _words_before(t, start, 1), seed, name
+
+    @staticmethod
+    def _opens(t: str, a: int) -> int:
+        """Where a number that begins at a may open, up to two signs + or ( before it; -1 if it is part of something."""
+        if t[a - 1 : a] in (" ", "\n"):
+            return a
+        for b in range(max(0, a - 2), a + 1):
+            if all(c in "+(" for c in t[b:a]):
+                left = t[b - 1 : b]
+                if left and (left.isalnum() or left in "_@#+=-" or left in "/.:" and t[max(0, b - 2) : b - 1].isdigit()):
+                    continue
+                return b
+        return -1
 
     def numbers(self, t: str):
         at = 0
         while m := _NUMBER.search(t, at):
-            s, a, at = m[1], m.start(1), m.end()
+            a = m.start()
+            b = self._opens(t, a)
+            if b < 0:  # within a word: its other digits are no beginnings either
+                at = _DIGITS.match(t, a).end()
+                continue
+            s, at = t[b : m.end()], m.end()
             cut = _TWO_NUMBERS.search(s)
             if cut:  # the search goes on behind the sign, as the match may end within the second number
-                s, at = s[: cut.start()], a + cut.end()
+                s, at = s[: cut.start()], b + cut.end()
             s = s.rstrip(" (./-")
             if s[0] == "(" and s.count("(") > s.count(")"):
-                s, a = s[1:], a + 1
-            if not 7 <= sum(map(str.isdigit, s)) <= 15 and not s[0].isalpha():
-                continue
-            mask = s.translate(_MASK)
-            if _OTHER.match(mask) and not _IDENTITY_HINT.search(t[max(0, a - 60) : a].lower()):
-                told, left = False, _words_before(t, a, 2, 30).split(" ")
-            else:
-                words = _words_before(t, a, 8)
-                told = _IDENTITY_WORDS.search(words, words.rfind("9") + 1) is not None
-                left = words.split(" ")[-2:]
-            yield "number", a, a + len(s), _SIGNS.sub("", s), mask, " ".join(left), int(told), left[-1]
+                s, b = s[1:], b + 1
+            if 7 <= sum(map(str.isdigit, s)) <= 15:
+                yield self._number(t, b, s)
+        for m in _LETTERED.finditer(t):
+            a = m.start()
+            left = t[a - 1 : a]
+            if not (left and (left.isalnum() or left in "_@#+=-" or left in "/.:" and t[max(0, a - 2) : a - 1].isdigit())):
+                yield self._number(t, a, m[0])
+
+    @staticmethod
+    def _number(t: str, a: int, s: str):
+        words = _words_before(t, a, 8)
+        told = _IDENTITY_WORDS.search(words, words.rfind("9") + 1) is not None
+        left = words.split(" ")[-2:]
+        return "number", a, a + len(s), _SIGNS.sub("", s), s.translate(_MASK), " ".join(left), int(told), left[-1]
 
     def streets(self, t: str):
         for m in _HOUSE_FIRST.finditer(t):
             a = m.start()
-            if (a and (t[a - 1].isalnum() or t[a - 1] in "_.:/-")) or (t[a + 3 : a + 5].isdigit() and t[a + 4 : a + 5]):
+            if a and (t[a - 1].isalnum() or t[a - 1] in "_.:/-"):
                 continue
             words = m[1].replace("\n", " ").split(" ")
             low = [w.lower() for w in words]
-            if low[0] in STREET_FIRST:  # type first: it ends with the last word that isn't a particle
-                n = max([i + 1 for i, w in enumerate(words) if i and not w.islower()] or [0])
+            # Five digits and a word are a postcode and a town, unless the line has a type of street.
+            long = t[a + 3 : a + 5].isdigit() and t[a + 4 : a + 5] != ""
+            if low[0] in STREET_FIRST:  # type first, then one group of words: it ends with the first capitalised one
+                n = next((i + 1 for i, w in enumerate(words) if i and not w.islower()), 0)
                 if not n:
                     continue
                 kind = low[0]
-                # the name is one group of words: stop at the first capitalised one
-                n = next(i + 1 for i, w in enumerate(words) if i and not w.islower())
             else:
                 last = [i for i, w in enumerate(low) if i and w in STREET_LAST]
+                if long and not last:
+                    continue
                 n = last[0] + 1 if last else min(2, len(words))
                 if not (words[0][0].isupper() and words[n - 1][0].isupper()):
                     continue
                 kind = low[n - 1].rstrip(".")
             street = " ".join(low[:n]).rstrip(".")
             end = m.start(1) + len(" ".join(words[:n]))
+            if long and "\n" in t[a:end]:
+                continue
             flat = _FLAT.search(t, max(0, a - 14), a) if t[a - 1 : a].isspace() else None
             a = flat.start() if flat else a
-            yield "address", a, end, street, f"first {kind}", _words_before(t, a, 1, 30), int(self._town(t, end)), ""
+            yield "address", a, end, street, f"first {kind}", _words_before(t, a, 1), int(self._town(t, end)), ""
         for m in _HOUSE_LAST.finditer(t):
-            words = m[1].replace("\n", " ").split(" ")
+            # The last word before the number must be able to end a street; most aren't.
+            i = m.start()
+            j = i - 1 if t[i - 1 : i] == "," else i
+            k = max(t.rfind(" ", 0, j), t.rfind("\n", 0, j)) + 1
+            c = t[k : k + 1]
+            if j == k or "a" <= c <= "z" and t[k:j] not in _STREET_PARTICLES or c.isdigit():
+                continue
+            line = t[max(0, i - 200) : i].rsplit(None, 5)[-5:]
+            n = _STREET_WORDS.search(t, i - len(" ".join(line)), i)
+            if not n:
+                continue
+            words = n[1].replace("\n", " ").split(" ")
             low = [w.lower() for w in words]
             first = next((i for i, w in enumerate(low) if w in STREET_FIRST), None)
             if low[-1] in (NO_STREET if first is None else FLATS):
                 continue
+            if m[2][4:5].isdigit() and (first is not None or j < i or t[i] == "\n" or not low[-1].endswith(STREET_END)):
+                continue
             # With a type word the address begins there, else with the last word.
             i = first if first is not None else len(words) - 1
             kind = low[i] if first is not None else "…" + low[i][-5:]
-            a = m.start(1) + len(" ".join(words[:i])) + (1 if i else 0)
-            yield "address", a, m.end(), " ".join(low[i:]), f"last {kind}", _words_before(t, a, 1, 30), int(self._town(t, m.end())), ""
+            a = n.start(1) + len(" ".join(words[:i])) + (1 if i else 0)
+            yield "address", a, m.end(), " ".join(low[i:]), f"last {kind}", _words_before(t, a, 1), int(self._town(t, m.end())), ""
 
     @staticmethod
     def _town(t: str, end: int) -> bool:
@@ -253,42 +307,53 @@ class Scan:
         return _TOWN.match(t, end) is not None
 
     def names(self, t: str):
-        known = self.known
-        done = 0
-        for a, b in sorted(self._places(t)):
-            if a < done or (a and t[a - 1] in ".@_-+"):
+        """Candidates of names in their order. Those that overlap an earlier one are chained with it, by a number in
+        the column seed (0: alone); which of them stands is decided once it is known which words are given names."""
+        found = []
+        for a, b in self._places(t):
+            if a and t[a - 1] in ".@_-+":
                 continue
             after = self._after(t, a, b)
-            if after and after[4] == "plain":
-                found, done = [after], after[1]
-            else:
-                found = [x for x in (self._before(t, a, b, done), after) if x]
-            for start, end, given, family, style in found:
-                yield "name", start, end, family, given, _words_before(t, start, 1, 30), 0, style
+            if not after or after[4] != "plain":
+                before = self._before(t, a, b)
+                if before:
+                    found.append(before)
+            if after:
+                found.append(after)
         for m in _DOT_SPACE.finditer(t):
             a = m.start() - 1
             if a < 0 or not t[a].isupper() or (a and (t[a - 1].isalnum() or t[a - 1] in "_.@-")):
                 continue
             n = _AFTER_INITIAL.match(t, m.end())
-            if n and n[2][0].isupper() and not known(_words_before(t, a, 1, 30)):
-                yield "name", a, n.end(), n[2].lower(), t[a].lower() + ".", _words_before(t, a, 1, 30), 0, "initial"
+            if n and n[2][0].isupper():
+                found.append((a, n.end(), t[a].lower() + ".", n[2].lower(), "initial"))
         for m in _INITIAL_LAST.finditer(t):
             left = t[max(0, m.start() - 60) : m.start()]
             n = _LAST_NAME.search(left)
             if n and n[2][0].isupper() and m[1][0].isupper():
-                start = m.start() - len(left) + n.start()
-                yield "name", start, m.end(), n[2].lower(), m[1][0].lower() + ".", _words_before(t, start, 1, 30), 0, "initial"
+                found.append((m.start() - len(left) + n.start(), m.end(), m[1][0].lower() + ".", n[2].lower(), "initial"))
+        found.sort()
+        chain, top, chains = 0, -1, [0] * len(found)
+        for i, x in enumerate(found):
+            if x[0] < top:
+                if not chains[i - 1]:
+                    chain += 1
+                    chains[i - 1] = chain
+                chains[i] = chains[i - 1]
+            top = max(top, x[1])
+        for c, (start, end, given, family, style) in zip(chains, found):
+            yield "name", start, end, family, given, _words_before(t, start, 1), c, style
 
     def _places(self, t: str):
-        """Where words stand that may be given names; each different word of the text is looked up once."""
-        for w in set(_WORD.findall(t)):
-            if self.known(w.lower()):
-                a = t.find(w)
-                while a >= 0:
-                    b = a + len(w)
-                    if not (a and (t[a - 1].isalpha() or t[a - 1] == "-")) and not (t[b : b + 1].isalpha() or t[b : b + 1] == "-"):
-                        yield a, b
-                    a = t.find(w, b)
+        """Where words stand that may be given names; each different piece of the text is looked up once."""
+        pieces = self.words
+        for w in {w for piece in set(t.split()) for w in pieces[piece]}:
+            a = t.find(w)
+            while a >= 0:
+                b = a + len(w)
+                if not (a and (t[a - 1].isalpha() or t[a - 1] == "-")) and not (t[b : b + 1].isalpha() or t[b : b + 1] == "-"):
+                    yield a, b
+                a = t.find(w, b)
 
     def _after(self, t: str, a: int, b: int):
         m = _AFTER.match(t, b)
@@ -297,8 +362,8 @@ class Scan:
         plain = m[3][0].isupper() and t[a].isupper() and "\n" not in m[0]
         return a, m.end(), t[a:b].lower(), m[3].lower(), "plain" if plain else "loose"
 
-    def _before(self, t: str, a: int, b: int, done: int):
-        left = t[max(done, a - 60) : a]
+    def _before(self, t: str, a: int, b: int):
+        left = t[max(0, a - 60) : a]
         m = _BEFORE.search(left)
         if not m or "\n\n" in m[0]:
             return None
@@ -309,7 +374,11 @@ class Scan:
 
     def __call__(self, text: str):
         t, here, there = view(text)
+        same = len(here) == 1
         for f in (self.emails, self.numbers, self.streets, self.names):
+            if same:
+                yield from f(t)
+                continue
             for kind, start, end, *rest in f(t):
                 i, j = bisect_right(here, start) - 1, bisect_right(here, end) - 1
                 yield kind, there[i] + start - here[i], there[j] + end - here[j], *rest
@@ -327,7 +396,7 @@ def candidates(docs: DataFrame, given: DataFrame, id_col: str, text_col: str) ->
     words = docs.sparkSession.sparkContext.broadcast(_bloom_words(given))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Scan(words.value.memo())
+        finder = Scan(words.value.has)
         names = [f.split(" ")[0] for f in CANDIDATE.split(", ")]
         types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
         for batch in batches:
@@ -343,6 +412,22 @@ def candidates(docs: DataFrame, given: DataFrame, id_col: str, text_col: str) ->
     return texts.mapInArrow(scan, CANDIDATE)
 
 
+class _Pieces(dict):
+    """The words in a piece of text without blanks that may be given names, remembered for a bounded number of pieces."""
+
+    def __init__(self, known):
+        self.known = known
+
+    def __missing__(self, piece: str) -> tuple[str, ...]:
+        if len(self) >= 200_000:
+            self.clear()
+        known = self.known
+        got = tuple(w for w in _WORD.findall(piece) if known(w.lower()))
+        if len(piece) <= 64:
+            self[piece] = got
+        return got
+
+
 class _Words:
     """A Bloom filter over words, with what it said remembered for a bounded number of them."""
 
@@ -352,19 +437,6 @@ class _Words:
     def has(self, word: str) -> bool:
         return all(self.bits[h >> 3] & (128 >> (h & 7)) for h in _spots(word))
 
-    def memo(self):
-        seen: dict[str, bool] = {}
-
-        def known(word: str) -> bool:
-            got = seen.get(word)
-            if got is None:
-                if len(seen) >= 200_000:
-                    seen.clear()
-                got = seen[word] = self.has(word)
-            return got
-
-        return known
-
 
 def _spots(word: str) -> list[int]:
     import xxhash
@@ -405,37 +477,43 @@ def mailbox_pairs(docs: DataFrame, text_col: str) -> DataFrame:
     return cut.where("given <> '' and family <> ''").groupBy("given", "family").agg(F.max(F.coalesce(proof, F.lit(False))).alias("proof"))
 
 
-def given_names(pairs: DataFrame, turns: int = 3, least: float = 0.3) -> DataFrame:
-    """Given names from mailbox pairs: (given).
+def given_names(pairs: DataFrame, least: float = 0.3, support: int = 2) -> DataFrame:
+    """Given names from mailbox pairs (given, family, proof): (given).
 
     Seeds are the families that their mailbox's local part repeats. A given name is as good as the
-    share of its families that are known, of at least two; a family is known if a good given name
-    stands before it. Names of desks and machines stand before one word only.
+    share of its families that are known, of at least `support`; a family is known too if a good given
+    name stands before it. Turns end when no new given name comes. Names of desks and machines stand
+    before one word only.
     """
-    pairs = materialize(pairs, "pairs")
-    known = pairs.where("proof").select("family").distinct()
-    for _ in range(turns):
+    known, found, given = pairs.where("proof").select("family").distinct(), -1, None
+    while True:
         marked = pairs.join(known.withColumn("is_known", F.lit(1)), "family", "left")
-        given = materialize(
-            marked.groupBy("given").agg(F.count("*").alias("n"), F.count("is_known").alias("k")).where((F.col("k") >= 2) & (F.col("k") >= least * F.col("n"))).select("given"),
-            "given",
-        )
-        known = pairs.join(given, "given", "left_semi").select("family").distinct()
-    return given
-
-
-def bootstrap(combos: DataFrame, weights: dict[str, float], classes: list[str], turns: int = 4, least: float = 0.6, need: float = 1.0) -> DataFrame:
+        scored = marked.groupBy("given").agg(F.count("*").alias("n"), F.count("is_known").alias("k"))
+        new = materialize(scored.where((F.col("k") >= support) & (F.col("k") >= least * F.col("n"))).select("given"), "given")
+        if given is not None:
+            discard(given)
+        given, n = new, new.count()
+        if n == found:
+            return given
+        found = n
+        known = pairs.where("proof").select("family").unionByName(pairs.join(given, "given", "left_semi").select("family")).distinct()
+
+
+def bootstrap(
+    combos: DataFrame, weights: dict[str, float], classes: list[str], turns: int | None = None, least: float = 0.6, need: float = 1.0
+) -> DataFrame:
     """Score a graph of patterns and instances; returns the distinct combos with the class each gets, or null.
 
     combos has the columns of weights, which name the nodes of a combo (its instance among them), and
     seed, its class if its form makes it certain. In each turn every node gets the shares of the
     classes among its known combos of different instances, and every combo the mean of its nodes'
     shares, by weight. Combos of at least `least` for a class, from nodes of at least `need` weight,
-    are known in the next turn. Nodes are counted in aggregations, so frequent ones are no hot spots.
+    are known from then on. Without turns it goes on until a turn finds nothing new, which it must, as
+    each finds at least one combo. Nodes are counted in aggregations, so frequent ones are no hot spots.
     """
     nodes = list(weights)
-    state = materialize(combos.groupBy(*nodes).agg(F.max("seed").alias("seed")).withColumn("known", F.col("seed")), "combos")
-    for _ in range(turns):
+    state = materialize(combos.groupBy(*nodes).agg(F.max("seed").alias("seed")).withColumn("known", F.col("seed")).withColumn("new", F.lit(False)), "combos")
+    while turns is None or turns > 0:
         scored = state
         for c in nodes:
             # Different instances are counted exactly, in two steps with partial sums; combos of one instance count each.
@@ -454,33 +532,74 @@ def bootstrap(combos: DataFrame, weights: dict[str, float], classes: list[str],
         best: Column = F.lit(None).cast("string")
         for s, k in zip(score, classes):
             best = F.when((s >= least) & (got >= need), F.lit(k)).otherwise(best)
-        state = materialize(scored.select(*nodes, "seed", F.coalesce("seed", best).alias("known")), "combos")
-    return state
-
-
-def known_families(names: DataFrame, turns: int = 2, affix: int = 3, least: float = 0.5) -> DataFrame:
-    """Family names from the candidates of names (family, given, style, sure): (family).
-
-    Seeds are the words that follow a sure given name on its line. Their first and last letters are
-    patterns: a pattern is as good as its share of known families among all words that have it and
-    stand beside a given name or an initial. Words with a good beginning and a good end, such as a
-    family that only stands before a comma, are known in the next turn.
+        # Known combos stay as they are; only the others need a score.
+        news = scored.where("known is null").select(*nodes, "seed", best.alias("known"), best.isNotNull().alias("new"))
+        olds = state.where("known is not null").select(*nodes, "seed", "known", F.lit(False).alias("new"))
+        after = materialize(olds.unionByName(news), "combos")
+        discard(state)
+        state = after
+        turns = None if turns is None else turns - 1
+        if turns is None and state.where("new").isEmpty():
+            break
+    return state.drop("new")
+
+
+def known_families(names: DataFrame, pairs: DataFrame, affix: int = 3, least: float = 0.5, confident: float = 0.3) -> DataFrame:
+    """Family names from the candidates of names (family, given, style, sure) and mailbox pairs: (family).
+
+    A graph of words and patterns, in turns until no new family comes. Seeds are the families in
+    mailboxes of given names. Patterns are the given names themselves, each as good as the share of
+    known families among all words that follow it in mailboxes and texts (from `confident` on, all of
+    them are families), and the first and last letters: as good as their share of known families
+    among all words that have them and stand beside a given name or an initial. Words with a good
+    beginning and a good end, such as a family that only stands before a comma, are known next.
     """
-    words = materialize(
-        names.groupBy("family").agg(F.max(F.coalesce(F.col("sure"), F.lit(False)) & (F.col("style") == "plain")).alias("seed"))
-        .withColumn("head", F.substring("family", 1, affix))
-        .withColumn("tail", F.expr(f"right(family, {affix})")),
-        "words",
-    )
-    known = words.withColumn("known", F.col("seed"))
-    for _ in range(turns):
+    beside = names.groupBy("family").agg(F.count("*").alias("n")).select("family")
+    sure = pairs.join(names.where("sure").select("given").distinct(), "given", "left_semi").select("given", "family")
+    edges = materialize(names.where("sure and style = 'plain'").select("given", "family").unionByName(sure).distinct(), "edges")
+    words = beside.unionByName(edges.select("family")).distinct().join(sure.select("family", F.lit(True).alias("known")).distinct(), "family", "left")
+    cut = [F.substring("family", 1, affix).alias("head"), F.expr(f"right(family, {affix})").alias("tail")]
+    state, found = materialize(words.select("family", *cut, F.coalesce("known", F.lit(False)).alias("known")), "words"), -1
+    while True:
+        n = state.where("known").count()
+        if n == found:
+            return state.where("known").select("family")
+        found = n
+        marked = edges.join(state.where("known").select("family", F.lit(1).alias("hit")), "family", "left")
+        good_given = marked.groupBy("given").agg((F.count("hit") >= confident * F.count("*")).alias("good")).where("good")
+        led = edges.join(good_given, "given", "left_semi").select("family", F.lit(True).alias("led")).distinct()
         shares = {
-            c: known.groupBy(c).agg(F.avg(F.col("known").cast("double")).alias(f"of_{c}"), F.count_if("known").alias(f"n_{c}")) for c in ("head", "tail")
+            c: state.groupBy(c).agg(F.avg(F.col("known").cast("double")).alias(f"of_{c}"), F.count_if("known").alias(f"n_{c}")) for c in ("head", "tail")
         }
-        good = reduce(lambda a, b: a & b, [(F.col(f"of_{c}") >= least) & (F.col(f"n_{c}") >= 3) for c in shares])
-        joined = known.join(shares["head"], "head").join(shares["tail"], "tail")
-        known = materialize(joined.select("family", "seed", "head", "tail", (F.col("seed") | good).alias("known")), "words")
-    return known.where("known").select("family")
+        shaped = reduce(lambda a, b: a & b, [(F.col(f"of_{c}") >= least) & (F.col(f"n_{c}") >= 3) for c in shares])
+        joined = state.join(led, "family", "left").join(shares["head"], "head").join(shares["tail"], "tail")
+        after = materialize(joined.select("family", "head", "tail", (F.col("known") | F.coalesce("led", F.lit(False)) | shaped).alias("known")), "words")
+        discard(state)
+        state = after
+
+
+def _classed(rows: DataFrame, nodes: dict[str, float], kinds: list[str], need: float = 1.0) -> DataFrame:
+    """Rows (doc_id, start_pos, end_pos, nodes, seed) whose seed, or whose combo in the graph, is of one of the kinds."""
+    graph = bootstrap(rows.select(*nodes, "seed"), nodes, ["other", *kinds], need=need)
+    at = ["doc_id", "start_pos", "end_pos"]
+    own = rows.where(F.col("seed").isin(kinds)).select(*at, F.col("seed").alias("kind"))
+    by_graph = rows.where("seed is null").drop("seed").join(graph.where(F.col("known").isin(kinds)), list(nodes))
+    return own.unionByName(by_graph.select(*at, F.col("known").alias("kind")))
+
+
+def _standing(names: DataFrame) -> DataFrame:
+    """Without those of the names (…, seed, style) that overlap an earlier one: the words of a name on one line are no
+    part of another, and an initial within a name is none itself. Chains are short: they end where words don't touch."""
+    at = ["doc_id", "start_pos", "end_pos"]
+    spans = names.where("seed > 0").groupBy("doc_id", "seed").agg(F.array_sort(F.collect_set(F.struct("start_pos", "end_pos", "style"))).alias("spans"))
+    kept = F.expr(
+        "aggregate(spans, struct(0 as done, 0 as far, array_remove(spans, spans[0]) as kept), (a, x) -> "
+        "if(x.start_pos < a.done or (x.style = 'initial' and x.start_pos < a.far), a, struct("
+        "if(x.style = 'plain', greatest(a.done, x.end_pos), a.done) as done, if(x.style = 'initial', a.far, greatest(a.far, x.end_pos)) as far, "
+        "array_append(a.kept, x) as kept)), a -> slice(a.kept, size(spans), size(a.kept)))"
+    )
+    chained = spans.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.start_pos", "x.end_pos")
+    return names.where("seed = 0").select(*at).unionByName(chained)
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -489,42 +608,39 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind is email, phone, identity, address or name; positions count code points of the text from 0,
     end_pos is the one after the last.
     Null, empty and blank texts have none, an empty table gives none; a doc_id that occurs twice with
-    the same text has its occurrences once. Other columns aren't read.
+    the same text has its occurrences once. Other columns aren't read. Phone numbers have 7 to 15
+    digits, as the international numbering plan allows.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    given = given_names(mailbox_pairs(texts, "text"))
+    pairs = materialize(mailbox_pairs(texts, "text"), "pairs")
+    given = given_names(pairs)
     found = materialize(candidates(texts, given, "doc_id", "text"), "candidates")
-    at = ["start_pos", "end_pos"]
-    out = ["doc_id", "kind", *at]
-    emails = found.where("kind = 'email'").select(*out)
+    at = ["doc_id", "start_pos", "end_pos"]
 
-    numbers = found.where("kind = 'number'").select("doc_id", *at, "instance", F.col("pattern").alias("mask"), "left", F.col("style").alias("word"), "seed")
-    seed = (
+    form = F.when(F.col("seed") == 2, "other").when(F.col("seed") == 1, "email")
+    emails = found.where("kind = 'email'").select(*at, "instance", F.col("pattern").alias("sign"), F.col("style").alias("host"), "left", form.alias("seed"))
+    by_email = _classed(emails, {"instance": 2.0, "host": 1.0, "sign": 1.0, "left": 0.5}, ["email"])
+
+    form = (
         F.when(F.col("left").rlike(OTHER_LEFT), "other")
-        .when(F.col("mask").rlike(PHONE_MASK), "phone")
-        .when(F.col("mask").rlike(IDENTITY_MASK) | (F.col("seed") > 0), "identity")
-        .when(F.col("mask").rlike(OTHER_MASK), "other")
+        .when(F.col("pattern").rlike(PHONE_MASK), "phone")
+        .when(F.col("pattern").rlike(IDENTITY_MASK) | (F.col("seed") > 0), "identity")
+        .when(F.col("pattern").rlike(OTHER_MASK), "other")
     )
-    number_class = bootstrap(numbers.select("instance", "mask", "left", "word", seed.alias("seed")), {"instance": 1.0, "mask": 2.0, "left": 1.0, "word": 0.5}, ["other", "phone", "identity"])
-    nodes = ["instance", "mask", "left", "word"]
-    by_number = numbers.join(number_class.where("known in ('phone', 'identity')"), nodes).select("doc_id", F.col("known").alias("kind"), *at)
+    numbers = found.where("kind = 'number'").select(*at, "instance", F.col("pattern").alias("mask"), "left", F.col("style").alias("word"), form.alias("seed"))
+    by_number = _classed(numbers, {"instance": 1.0, "mask": 2.0, "left": 1.0, "word": 0.5}, ["phone", "identity"])
 
-    streets = found.where("kind = 'address'").select("doc_id", *at, "instance", F.col("pattern").alias("type"), "left", "seed")
     unit = F.split("instance", " ")
-    street_seed = F.when(F.array_contains(F.lit(list(OTHER_UNITS)), unit[0]) | F.array_contains(F.lit(list(OTHER_UNITS)), F.element_at(unit, -1)), "other").when(F.col("seed") > 0, "address")
-    street_class = bootstrap(streets.select("instance", "type", "left", street_seed.alias("seed")), {"instance": 2.0, "type": 2.0, "left": 0.5}, ["other", "address"], need=2.0)
-    by_street = streets.join(street_class.where("known = 'address'"), ["instance", "type", "left"]).select("doc_id", F.lit("address").alias("kind"), *at)
-
-    names = found.where("kind = 'name'").select("doc_id", *at, F.col("instance").alias("family"), F.col("pattern").alias("given"), "style")
-    sure = names.join(given, "given", "left_semi")
-    family = materialize(known_families(names.join(given.withColumn("sure", F.lit(True)), "given", "left")), "families")
-    by_name = (
-        sure.where("style = 'plain'")
-        .unionByName(sure.where("style <> 'plain'").join(family, "family", "left_semi").select(*sure.columns))
-        .unionByName(names.where("style = 'initial'").join(family, "family", "left_semi").select(*sure.columns))
-        .select("doc_id", F.lit("name").alias("kind"), *at)
-    )
-    every = reduce(DataFrame.unionByName, [emails, by_number, by_street, by_name])
+    form = F.when(F.array_contains(F.lit(list(OTHER_UNITS)), unit[0]) | F.array_contains(F.lit(list(OTHER_UNITS)), F.element_at(unit, -1)), "other").when(F.col("seed") > 0, "address")
+    streets = found.where("kind = 'address'").select(*at, "instance", F.col("pattern").alias("type"), "left", form.alias("seed"))
+    by_street = _classed(streets, {"instance": 2.0, "type": 2.0, "left": 0.5}, ["address"], need=2.0)
+
+    names = found.where("kind = 'name'").select(*at, F.col("instance").alias("family"), F.col("pattern").alias("given"), "seed", "style")
+    marked = names.join(given.withColumn("sure", F.lit(True)), "given", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
+    family = materialize(known_families(marked.select("family", "given", "style", "sure"), pairs), "families")
+    named = marked.where("sure or style = 'initial'").join(family, "family", "left_semi")
+    by_name = _standing(named).withColumn("kind", F.lit("name"))
+    every = reduce(DataFrame.unionByName, [by_email, by_number, by_street, by_name])
     return every.groupBy("doc_id", "kind", "start_pos").agg(F.max("end_pos").alias("end_pos"))
 
 

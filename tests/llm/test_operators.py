@@ -349,3 +349,53 @@ def test_redaction_keeps_the_rest(spark):
 def test_nothing_personal_in_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.find_personal(df).count() == 0
+
+
+def test_names_do_not_hang_on_wrong_answers_of_the_filter():
+    sure = {"anna", "milena"}
+    for text, want in {
+        "Budget Anna Schmidt": ["Anna Schmidt"],
+        "Dear J. Schmidt": ["J. Schmidt"],
+        "Anna J. Schmidt": ["Anna J. Schmidt"],
+        "Anna Milena Schmidt": ["Anna Milena"],
+    }.items():
+        got = [(text[c[1] : c[2]], c[4], c[6], c[7]) for c in pii.Scan(lambda w: True)(text) if c[0] == "name"]
+        accepted = [(s, g, chain, style) for s, g, chain, style in got if g in sure or style == "initial"]
+        assert all(w in [s for s, *_ in accepted] for w in want), got
+
+
+def test_overlapping_names_stand_once(spark):
+    rows = [(1, 0, 12, 1, "plain"), (1, 7, 20, 1, "plain"), (1, 30, 42, 2, "loose"), (1, 33, 42, 2, "initial"), (1, 50, 60, 0, "plain"), (2, 7, 20, 1, "loose"), (2, 9, 20, 1, "plain"), (3, 4, 9, 5, "initial")]
+    df = spark.createDataFrame(rows, "doc_id bigint, start_pos int, end_pos int, seed int, style string")
+    got = {(r[0], r[1]) for r in pii._standing(df).collect()}
+    assert got == {(1, 0), (1, 30), (1, 50), (2, 7), (2, 9), (3, 4)}
+    base = archive() + ["Budget Milena Kelgane came. Milena K. Kelgane too. K. Kelgane"]
+    _, out = found(spark, base)
+    last = base[-1]
+    assert out[len(base) - 1] == {("name", last.index("Milena")), ("name", last.rindex("Milena")), ("name", last.rindex("K. Kel"))}
+
+
+def test_forms_held_out_from_the_seeds(spark):
+    """Recall of each kind on occurrences in a form that no seed has; only their contexts are known."""
+    base = archive()
+    held = {
+        "phone": [f"Call me: 0{n} 7946 0{n}3." for n in range(21, 31)],
+        "identity": [f"National insurance number: 99{i} 54 26{i}1" for i in range(10)],
+        "email": [f"Write to {f.lower()}.x[at]a.test now" for f in FAMILIES if f != "Norvik"][:10],
+        "address": [f"It is at {i}7 Mill Road; come" for i in range(10)],
+        "name": [f"We met Norvik, {g} there" for g in GIVEN],
+    }
+    texts = [t for k in held for t in held[k]]
+    _, out = found(spark, base + texts)
+    i = len(base)
+    for kind, ts in held.items():
+        hit = sum(any(k == kind for k, _ in out.get(i + j, ())) for j in range(len(ts)))
+        i += len(ts)
+        assert hit >= 0.9 * len(ts), (kind, hit)
+
+
+def test_house_numbers_of_any_length():
+    scan = pii.Scan(lambda w: False)
+    street = lambda s: [s[c[1] : c[2]] for c in scan(s) if c[0] == "address"]
+    assert street("at 12345 Mill Road, x") == ["12345 Mill Road"] and street("24370 Brenn Anna") == []
+    assert street("in der Mühlstraße 10234 b") == ["Mühlstraße 10234 b"] and street("5 Avenue, 17791 Brenn") == []
