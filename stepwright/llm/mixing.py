@@ -64,6 +64,16 @@ def repetition_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def emit_mix(mix: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of a mix, each document as often as the mix repeats it: (mix_id, doc_id, copy, source, text).
+
+    copy counts from 1. A doc_id that occurs twice in docs must not be in the mix. Other columns aren't read.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return mix.join(texts, "doc_id").select("mix_id", "doc_id", copies, "source", "text")
+
+
 def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 17, **read) -> tuple[DataFrame, DataFrame]:
     """Mix documents to the shares of targets (mix_id, source, target_share, max_repeats, mix_tokens).
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-#: An interval with at most this many rows is finished by sorting them: a bound, whatever the data.
-SORT_AT = 512
+#: An interval with at most this many rows is not halved any more but finished by sorting them; 1 halves to the end.
+SORT_AT = 1
 #: Counted parts of an interval in a pass; 2 is plain bisection, 2 ** k does k halvings at once.
-PARTS = 16
+PARTS = 64
 
 
 def sort_key(value: Column) -> Column:

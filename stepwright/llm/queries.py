@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import sql_file_key, sql_run_key
 from ..runtime import materialize, table
 from .clusters import cluster_reads
-from .mixing import mix_sources
+from .mixing import emit_mix, mix_sources
 from .pii import find_personal, redact
 from .quantiles import requested_quantiles
 from .sampling import sample_plans
-from .splits import split_manifest
+from .splits import split_manifest, split_report
 from .steps import collapse_steps, step_features
 from .tokens import token_ids
 
@@ -20,6 +21,13 @@ def p1_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return requested_quantiles([table(spark, d, "peptide_signals")], table(spark, d, "quantile_requests"))
 
 
+def p1_days(spark: SparkSession, d: str) -> DataFrame:
+    """The same over four deliveries that are counted apart, the days dealt to them in turn."""
+    reads = table(spark, d, "peptide_signals")
+    turn = F.coalesce(F.pmod(F.datediff("acquired_at", F.lit("1970-01-01")), F.lit(4)), F.lit(0))
+    return requested_quantiles([reads.where(turn == i) for i in range(4)], table(spark, d, "quantile_requests"))
+
+
 def _split(spark: SparkSession, d: str) -> DataFrame:
     return split_manifest(table(spark, d, "templaterc"), table(spark, d, "peptide_signals"), table(spark, d, "split_targets"))
 
@@ -32,6 +40,10 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).select("entry_id", "group_id", "split")
 
 
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return split_report(_split(spark, d).select("entry_id", "class", "split"), table(spark, d, "split_targets"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return collapse_steps(table(spark, d, "step_segments")).where("n_steps > 1").select("read_id", "run_start", "run_end")
 
@@ -88,6 +100,12 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return report
 
 
+def p8_emitted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    mix, _ = mix_sources(docs, table(spark, d, "mix_targets"))
+    return emit_mix(mix, docs)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_personal(table(spark, d, "documents")).select("doc_id", "kind", "start_pos")
 
@@ -105,8 +123,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {
-    "p1_quantiles": """
+_QUANTILES = """
         with v as (
           select request_id, field, group_field, quantile, max_rank_error, read_id,
             case group_field when 'class' then class when 'run_name' then run_name when 'all' then 'all'
@@ -122,8 +139,9 @@ SQL: dict[str, str] = {
             count(*) over (partition by request_id, group_value) as n
           from once)
         select request_id, field, group_field, group_value, quantile, n, x as value, cast(0 as double) as rank_error, max_rank_error
-        from ranked where place = greatest(ceil(quantile * n - 1e-9), 1)""",
-    "p3_found": """
+        from ranked where place = greatest(ceil(quantile * n - 1e-9), 1)"""
+
+_RUNS = """
         with rows as (
           select distinct read_id, s, e, case when cast(mean as varchar) not like '%nan%' then mean end as mean, case when cast(std as varchar) not like '%nan%' then std end as std
           from step_segments where read_id is not null and s is not null),
@@ -134,9 +152,36 @@ SQL: dict[str, str] = {
           from rows r left join noise n on n.read_id = r.read_id where mean is not null),
         runs as (
           select *, sum(case when same then 0 else 1 end) over (partition by read_id order by s, e, mean rows unbounded preceding) as run
-          from near)
-        select read_id, min(s) as run_start, cast(arg_max(e, s) as integer) as run_end from runs
-        group by read_id, run having count(*) > 1""",
+          from near),
+        collapsed as (
+          select read_id, min(s) as run_start, cast(arg_max(coalesce(e, s), (s, coalesce(e, s), mean)) as integer) as run_end, count(*) as n_steps,
+            cast(sum(coalesce(e, s) - s) as bigint) as samples,
+            case when count(*) > 1 and sum(coalesce(e, s) - s) > 0 then sum(mean * (coalesce(e, s) - s)) / sum(coalesce(e, s) - s) else arg_min(mean, (s, coalesce(e, s), mean)) end as level
+          from runs group by read_id, run)"""
+
+SQL: dict[str, str] = {
+    "p1_quantiles": _QUANTILES,
+    "p1_days": _QUANTILES,
+    "p2_found": f"""
+        with recursive runs as (select entry_id, {sql_run_key("run_name")} as run from templaterc where entry_id is not null),
+        listed as (select distinct read_id, {sql_run_key("run_name")} as run from peptide_signals where read_id is not null),
+        keys as (
+          select entry_id, 'run ' || run as key from runs where run is not null
+          union select entry_id, 'file ' || {sql_file_key("file_path")} from templaterc where entry_id is not null and {sql_file_key("file_path")} is not null
+          union select entry_id, 'read ' || read_id from runs join listed using (run)),
+        near as (
+          select entry_id as a, min(entry_id) over (partition by key) as b from keys
+          union select min(entry_id) over (partition by key), entry_id from keys),
+        reach as (select entry_id as a, entry_id as b from runs union select reach.a, near.b from reach join near on near.a = reach.b),
+        groups as (select a as entry_id, min(b) as group_id from reach group by a)
+        select entry_id, group_id from groups where group_id in (select group_id from groups group by group_id having count(*) > 1)""",
+    "p3_found": _RUNS + """
+        select read_id, run_start, run_end from collapsed where n_steps > 1""",
+    "p3_runs": _RUNS + """
+        select read_id, run_start, run_end, cast(n_steps as integer) as n_steps, samples, level, run_end - run_start as duration from collapsed""",
+    "p3_features": _RUNS + """,
+        heights as (select *, abs(level - lag(level) over (partition by read_id order by run_start, run_end)) as height from collapsed)
+        select read_id, cast(sum(1) as bigint) as n_steps, sum(samples) / sum(1) as mean_step_len, max(height) as max_step_height from heights group by read_id""",
     "p5_found": """
         with have as (
           select class, lower(trim(dataset, chr(9) || chr(10) || chr(13) || ' ')) as d, count(*) as n from templaterc group by all)

@@ -15,11 +15,12 @@ BLOCK_ROWS = 20_000
 
 
 def category_quotas(entries: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each row of targets with the entries there are, its inclusion probability and whether it falls short.
+    """Each row of targets with the entries there are, the number of its category and whether it falls short.
 
     A row is short if its category has fewer entries than the greater of min_rows and target_share
-    times sample_size. The probability is the wanted number over the entries there are, at most 1.
-    A target whose class or dataset is null or blank asks for the entries where it is missing.
+    times sample_size.
+    A target whose class or dataset is null or blank asks for the entries where it is missing. Rows
+    of a plan that name one category, in two spellings of the dataset, have the same number cat.
     """
     counted = entries.groupBy("cat_class", "cat_dataset").agg(F.count("*").alias("available"))
     t = targets.select("plan_id", "sample_size", "class", "dataset", "target_share", "min_rows", dataset_key(F.col("dataset")).alias("d"))
@@ -27,9 +28,9 @@ def category_quotas(entries: DataFrame, targets: DataFrame) -> DataFrame:
     floor = F.coalesce("min_rows", F.lit(0))
     have = F.coalesce("available", F.lit(0))
     rows = t.join(counted, F.col("class").eqNullSafe(F.col("cat_class")) & F.col("d").eqNullSafe(F.col("cat_dataset")), "left")
-    order = W.partitionBy("plan_id").orderBy("class", "d", "target_share")
+    order = W.partitionBy("plan_id").orderBy("class", "d")
     return rows.select(
-        F.row_number().over(order).alias("cat"),
+        F.dense_rank().over(order).alias("cat"),
         "plan_id",
         "sample_size",
         "class",
@@ -40,7 +41,6 @@ def category_quotas(entries: DataFrame, targets: DataFrame) -> DataFrame:
         wanted.alias("wanted"),
         F.least(floor, have).alias("floor"),
         have.alias("available"),
-        F.when(have > 0, F.least(F.greatest(wanted, F.lit(0.0)) / have, F.lit(1.0))).otherwise(F.lit(0.0)).alias("p"),
         (have < F.greatest(floor.cast("double"), wanted)).alias("short"),
     )
 
@@ -59,11 +59,20 @@ def sample_plans(
     each block, and an entry is selected where the sum, begun at one random start, passes a whole
     number. Then categories below their floor (min_rows, or all there are) get the next entries of
     their order, and as many are taken, in proportion to what exceeds their floor, from the others.
+    Rows of targets that name one category add up, and each reports the category's selected entries.
     An entry_id that occurs twice is two entries with neighbouring places. Empty tables give an empty
     sample, and a report in which every wanted row is short.
     """
     clean = entries.select("entry_id", F.col("class").alias("cat_class"), dataset_key(F.col("dataset")).alias("cat_dataset"), "dataset")
-    quotas = materialize(category_quotas(clean, targets), "quotas")
+    rows = materialize(category_quotas(clean, targets), "rows")
+    have, all_wanted = F.max("available"), F.sum(F.greatest("wanted", F.lit(0.0)))
+    quotas = materialize(
+        rows.groupBy("plan_id", "cat").agg(
+            F.max("sample_size").alias("sample_size"), F.min("class").alias("class"), F.min("d").alias("d"), have.alias("available"), F.least(F.sum("floor"), have).alias("floor"),
+            F.when(have > 0, F.least(all_wanted / have, F.lit(1.0))).otherwise(F.lit(0.0)).alias("p"),
+        ),
+        "quotas",
+    )
     start = quotas.select("plan_id").distinct().select("plan_id", uniform("plan_id", F.lit("start"), seed=seed).alias("start"))
     match = F.col("class").eqNullSafe(F.col("cat_class")) & F.col("d").eqNullSafe(F.col("cat_dataset"))
     # targets don't grow with the entries, so Spark broadcasts the quotas by their size.
@@ -120,7 +129,7 @@ def sample_plans(
     wanted = placed.join(need.select("plan_id", "cat", "take", "drawn"), ["plan_id", "cat"])
     keep = F.when(F.col("crossed"), F.col("turn") <= F.col("take")).otherwise(F.col("turn") <= F.col("take") - F.col("drawn"))
     sample = wanted.where(keep).select("plan_id", "entry_id", "class", "dataset")
-    report = need.select(
+    report = rows.join(need.select("plan_id", "cat", "take"), ["plan_id", "cat"]).select(
         "plan_id", "class", "dataset", "target_share", "min_rows", "sample_size", "wanted", "available", F.col("take").alias("selected"), "short"
     )
     return sample, report

@@ -175,12 +175,15 @@ def assign_splits(
             "chain", "block", "label", F.array(*[(F.col(f"b{i}") + F.col(f"l{i}")).cast("double") for i in range(len(names))]).alias("want")
         )
         work = dealt.join(goal, ["chain", "block", "label"]).withColumn("seed", F.xxhash64(F.lit(seed), F.lit(r), "chain", "block"))
+        # A small shuffle would be merged into one task, but the work is in the blocks: an explicit number stays.
+        work = work.repartition(min(chains * blocks, 4 * spark.sparkContext.defaultParallelism), "chain", "block")
 
         state = materialize(
             work.groupBy("chain", "block").applyInPandas(_annealer(shares, steps, 0.2 / (1 + r)), "chain int, group long, split int"),
             "assigned",
         )
         kept.append(state)
+    # The deviation of each state, from its sums per label.
     for r, s in enumerate(kept):
         placed = s.join(sizes, "group").groupBy("chain", "label").agg(
             *[F.sum(F.when(F.col("split") == i, F.col("n")).otherwise(0)).alias(f"h{i}") for i in range(len(names))]
@@ -203,8 +206,25 @@ def assign_splits(
     return best, report
 
 
+def split_report(members: DataFrame, targets: DataFrame) -> DataFrame:
+    """Shares that the splits of members (entry_id, class, split) reach, per class and over all (class null and overall):
+
+    (overall, class, split, target_share, n, reached_share). Every split with a share has a row for every class.
+    """
+    each = members.select(F.lit(False).alias("overall"), "class", "split").unionByName(members.select(F.lit(True).alias("overall"), F.lit(None).cast("string").alias("class"), "split"))
+    counted = each.groupBy("overall", "class", "split").agg(F.count("*").alias("n"))
+    totals = each.groupBy("overall", "class").agg(F.count("*").alias("total"))
+    wanted = targets.where("target_share > 0").groupBy("split").agg(F.sum("target_share").alias("share"))
+    wanted = wanted.crossJoin(F.broadcast(wanted.agg(F.sum("share").alias("all"))))  # targets is a small table
+    grid = totals.crossJoin(F.broadcast(wanted.select("split", (F.col("share") / F.col("all")).alias("target_share"))))
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("overall", "class", "split")]
+    joined = grid.alias("g").join(counted.alias("c"), same[0] & same[1] & same[2], "left")
+    n = F.coalesce("c.n", F.lit(0))
+    return joined.select("g.overall", "g.class", "g.split", "g.target_share", n.alias("n"), (n / F.col("g.total")).alias("reached_share"))
+
+
 def split_manifest(entries: DataFrame, reads: DataFrame | None, targets: DataFrame, **options) -> DataFrame:
-    """Each manifest entry with its group and split: (entry_id, group_id, group_size, split).
+    """Each manifest entry with its group and split: (entry_id, class, group_id, group_size, split).
 
     Entries share a group if they name the same run or signal file, however written, or if a read is
     listed under the runs of both; this carries over. group_id is the group's smallest entry_id. The
@@ -224,5 +244,5 @@ def split_manifest(entries: DataFrame, reads: DataFrame | None, targets: DataFra
     return (
         members.join(count, "group")
         .join(split, "group", "left")
-        .select("entry_id", F.col("group").alias("group_id"), "group_size", "split")
+        .select("entry_id", F.col("label").alias("class"), F.col("group").alias("group_id"), "group_size", "split")
     )

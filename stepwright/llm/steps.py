@@ -21,24 +21,40 @@ FEW = 4096
 RUN = "array<struct<s:int,e:int,n:int,first:double,last:double,level:double,samples:bigint>>"
 
 
-def agglomerate(s, e, mean, noise: float, max_gap: int | None) -> list[tuple[int, int]]:
+def agglomerate(s, e, mean, noise: float, max_gap: int | None, linkage: str = "seam") -> list[tuple[int, int]]:
     """First and last index of each run: the most similar neighbours merge first, until none is left that may.
 
     Runs are a linked list (the far end of each is known at either end) and the seams between them a
-    priority queue by the difference of the two steps that meet there.
+    priority queue. With linkage "seam" its keys are the differences of the two steps that meet there,
+    with "level" those of the levels of the two runs, their means by length, taken anew at both ends of
+    a run when it has merged; a key that is out of date is dropped when its turn comes.
     """
     n = len(mean)
     end_of, start_of = list(range(n)), list(range(n))
     step = np.abs(np.diff(mean))
-    may = step <= noise
-    if max_gap is not None:
-        may &= (s[1:] - e[:-1]) <= max_gap
-    seams = [(step[i], i) for i in np.flatnonzero(may).tolist()]
+    apart = np.zeros(max(n - 1, 0), bool) if max_gap is None else (s[1:] - e[:-1]) > max_gap
+    # No merge brings a seam's steps nearer, but a run's level may come nearer to its neighbour's.
+    seams = [(step[i], i) for i in np.flatnonzero(~apart & (step <= noise)).tolist()]
     heapq.heapify(seams)
+    level, weight = list(map(float, mean)), np.maximum(e - s, 1).astype(float).tolist()
+    gone = bytearray(n)
     while seams:
-        _, i = heapq.heappop(seams)
+        key, i = heapq.heappop(seams)
         a, b = start_of[i], end_of[i + 1]
+        if linkage == "level":
+            if gone[i] or key != abs(level[i + 1] - level[a]):
+                continue
+            gone[i] = 1
+            total = weight[a] + weight[i + 1]
+            level[a] = (level[a] * weight[a] + level[i + 1] * weight[i + 1]) / total
+            weight[a] = total
         end_of[a], start_of[b] = b, a
+        if linkage == "level":
+            for at, left, right in ((a - 1, start_of[a - 1] if a else 0, a), (b, a, b + 1)):
+                if 0 <= at < n - 1 and not apart[at]:
+                    new = abs(level[right] - level[left])
+                    if new <= noise:
+                        heapq.heappush(seams, (new, at))
     out, i = [], 0
     while i < n:
         out.append((i, end_of[i]))
@@ -46,7 +62,7 @@ def agglomerate(s, e, mean, noise: float, max_gap: int | None) -> list[tuple[int
     return out
 
 
-def _runs_of(steps: Column, noise: Column, max_gap: int | None) -> Column:
+def _runs_of(steps: Column, noise: Column, max_gap: int | None, linkage: str) -> Column:
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for lists, noises in batches:
             flat = lists.flatten()
@@ -57,7 +73,7 @@ def _runs_of(steps: Column, noise: Column, max_gap: int | None) -> Column:
             rows, offsets = [], [0]
             for k in range(len(ends) - 1):
                 a, b = ends[k], ends[k + 1]
-                rows.extend((a + i, a + j) for i, j in agglomerate(s[a:b], e[a:b], m[a:b], limit[k], max_gap))
+                rows.extend((a + i, a + j) for i, j in agglomerate(s[a:b], e[a:b], m[a:b], limit[k], max_gap, linkage))
                 offsets.append(len(rows))
             i, j = (np.array(rows, dtype=np.int64).reshape(-1, 2)).T
             total = np.r_[0.0, np.cumsum(length)]
@@ -98,6 +114,7 @@ def collapse_steps(
     factor: float = 1.0,
     max_gap: int | None = None,
     chunk: int = CHUNK,
+    linkage: str = "seam",
 ) -> DataFrame:
     """Collapse stretches at one level: (read_id, run_start, run_end, n_steps, duration, samples, level).
 
@@ -107,7 +124,8 @@ def collapse_steps(
     many samples apart stay apart. A row that is there again in full is one step. Steps whose mean is
     missing (null or NaN) are passed over: their neighbours follow each other. Ties in s are ordered
     by e, then mean. Rows without read_id or s are left out. duration runs from the first sample to
-    the last, samples counts those in steps, level is their mean.
+    the last, samples counts those in steps, level is their mean. With linkage "level" neighbours are
+    compared by the levels of their runs, taken anew after each merge, so a slow drift isn't one run.
 
     A read is cut into chunks of samples, which are agglomerated in parallel; runs that touch a
     chunk's border are then put together from one small row each, so that no read, however long, is
@@ -136,7 +154,7 @@ def collapse_steps(
     noise = F.coalesce(F.col("noise") * factor, F.lit(0.0))
     runs = materialize(
         lists.join(per_read, "read_id")
-        .select("read_id", "chunk", "single", "noise", F.posexplode(_runs_of(F.col("steps"), noise, max_gap)).alias("at", "r"))
+        .select("read_id", "chunk", "single", "noise", F.posexplode(_runs_of(F.col("steps"), noise, max_gap, linkage)).alias("at", "r"))
         .select("read_id", "chunk", "single", "noise", "at", "r.*"),
         "runs",
     )
@@ -145,7 +163,7 @@ def collapse_steps(
     marked = runs.where("not single").join(ends, ["read_id", "chunk"])
     border = marked.where("at = 0 or at = top")
     order = W.partitionBy("read_id").orderBy("chunk", "at")
-    near = F.abs(F.col("first") - F.lag("last").over(order)) <= noise
+    near = F.abs(F.col("first" if linkage == "seam" else "level") - F.lag("last" if linkage == "seam" else "level").over(order)) <= noise
     if max_gap is not None:
         near = near & (F.col("s") - F.lag("e").over(order) <= max_gap)
     # Two border runs of one chunk were compared already, or stand apart.

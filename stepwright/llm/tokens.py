@@ -36,21 +36,27 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: piece crosses from one chunk to the next, so chunks can be remembered whole.
 CHUNKS = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-#: Entries kept by each remembering table of a worker before it starts afresh.
-KEEP = 300_000
+#: Bytes that each remembering table of a worker may hold, roughly, before it starts afresh, and the
+#: longest text it remembers.
+KEEP, LONGEST = 96 << 20, 256
 
 
 class _Memo(dict):
-    """A dict that fills itself by a function and is emptied when it holds KEEP entries."""
+    """A dict that fills itself by a function and is emptied when it holds KEEP bytes; long texts aren't kept."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) >= KEEP:
+        if len(key) > LONGEST:
+            return value
+        # A dict's slot, the two objects' heads, and a text's characters or a tuple's numbers.
+        self.held += 240 + 4 * len(key) + (8 * len(value) if isinstance(value, tuple) else 0)
+        if self.held > KEEP:
             self.clear()
+            self.held = 0
         self[key] = value
         return value
 
@@ -89,12 +95,18 @@ class PrefixEncoder:
         import regex
 
         if kind == ".json":
-            model = json.loads(content)["model"]
+            file = json.loads(content)
+            model = file["model"]
+            plain = model.get("type", "BPE") == "BPE" and not model.get("end_of_word_suffix") and not file.get("normalizer")
+            if not plain or (file.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+                raise ValueError("not a byte-level pair encoding")
             names = _printable_bytes()
             ids = {bytes(names[c] for c in w): i for w, i in model["vocab"].items() if all(c in names for c in w)}
             pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
             back = model["vocab"]
             self.parts = {back[a + b]: (back[a], back[b]) for a, b in pairs}
+        elif kind != ".tiktoken":
+            raise ValueError(f"a vocabulary in .json or .tiktoken is needed, not {kind}")
         else:
             ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
             self.parts = _parts(ids)

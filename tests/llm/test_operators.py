@@ -137,6 +137,30 @@ def test_runs_equal_brute_force_in_any_chunks(spark, chunk):
     assert f["n_steps"] == len(got) and f["max_step_height"] > 3
 
 
+def brute_levels(s, e, mean, noise):
+    runs = [[i, i, float(m), float(b - a)] for i, (a, b, m) in enumerate(zip(s, e, mean))]
+    while True:
+        gaps = [(abs(q[2] - p[2]), i) for i, (p, q) in enumerate(zip(runs, runs[1:]))]
+        if not gaps or min(gaps)[0] > noise:
+            return [(a, b) for a, b, *_ in runs]
+        i = min(gaps)[1]
+        p, q = runs[i], runs[i + 1]
+        w = p[3] + q[3]
+        runs[i : i + 2] = [[p[0], q[1], (p[2] * p[3] + q[2] * q[3]) / w, w]]
+
+
+def test_levels_are_taken_anew_after_each_merge():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 30, 200):
+        length = rng.integers(1, 30, n)
+        e = np.cumsum(length)
+        mean = np.cumsum(rng.normal(0, 0.4, n))
+        assert steps.agglomerate(e - length, e, mean, 0.5, None, "level") == brute_levels(e - length, e, mean, 0.5)
+    drift = np.arange(10) * 0.4
+    at = np.arange(10)
+    assert steps.agglomerate(at, at + 1, drift, 0.5, None) == [(0, 9)] and len(steps.agglomerate(at, at + 1, drift, 0.5, None, "level")) > 2
+
+
 def test_steps_at_the_edges(spark):
     df = spark.createDataFrame([("a", 0, 5, 1.0, None, 5, "x"), ("a", 5, 9, 1.0, 0.0, 4, "x"), ("a", 9, 12, 1.1, None, 3, "x"), ("b", 0, 3, None, 1.0, 3, "x"), (None, 0, 3, 1.0, 1.0, 3, "x"), ("c", 0, None, 2.0, 1.0, 3, "x")], SEG)
     got = {(r["read_id"], r["run_start"]): (r["run_end"], r["n_steps"], r["duration"]) for r in steps.collapse_steps(df).collect()}
@@ -175,6 +199,14 @@ def test_sample_meets_shares_and_floors(spark, block):
     assert {k: v[0] for k, v in got.items() if v[0]} == n and got[(2, "none")] == (0, True) and not got[(1, "small")][1]
 
 
+def test_one_category_in_two_spellings(spark):
+    rows = [(i, "r", "p", "a" if i < 60 else "b", "train") for i in range(100)]
+    plan = spark.createDataFrame([(1, 50, "a", "train", 0.4, 0), (1, 50, "a", " TRAIN", 0.2, 0), (1, 50, "b", "train", 0.4, 0)], PLAN)
+    sample, report = sampling.sample_plans(manifest(spark, rows), plan)
+    assert sample.select("entry_id").distinct().count() == sample.count() == 50
+    assert sorted((r["class"], r["selected"]) for r in report.collect()) == [("a", 30), ("a", 30), ("b", 20)]
+
+
 def test_sampling_of_nothing(spark):
     empty = manifest(spark, [])
     plan = spark.createDataFrame([(1, 10, "a", "x", 1.0, 0), (1, None, "b", "x", None, None)], PLAN)
@@ -208,6 +240,31 @@ def test_groups_are_found_across_cell_borders(spark):
     assert all(len(r["typical"]) == min(3, r["size"]) for r in described.values())
 
 
+def test_no_link_is_lost(spark):
+    one = spark.createDataFrame([(f"a{i:02d}", i * 0.9, 0.0, 0.0) for i in range(14)] + [("b1", 50.99, 0.5, 0.5), ("b0", 51.14, 0.5, 0.5), ("b2", 51.9, 0.5, 0.5), ("c", 90.0, 0.0, 0.0)], "id string, x double, y double, z double")
+    for turns in (1, 12):
+        members, _ = clusters.cluster(one, "id", ["x", "y", "z"], iterations=turns)
+        got = {}
+        for r in members.collect():
+            got.setdefault(r["cluster"], set()).add(r["id"][0])
+        assert sorted(map(sorted, got.values())) == [["a"], ["b"], ["c"]]
+
+
+def test_dense_groups_with_a_thin_bridge_come_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"{g}{i:03d}", g * 7 + float(rng.normal(0, 0.7)), float(rng.normal(0, 0.7)), 0.5) for g in (0, 1) for i in range(300)]
+    rows += [(f"2{i}", x, 0.0, 0.5) for i, x in enumerate((2.5, 3.4, 4.3, 5.2))]
+    points = spark.createDataFrame(rows, "id string, x double, y double, z double")
+    members, _ = clusters.cluster(points, "id", ["x", "y", "z"], iterations=10, bridge=0.02)
+    by = {}
+    for r in members.where("id < '2'").collect():
+        by.setdefault(r["id"][0], []).append(r["cluster"])
+    main = {g: max(set(c), key=c.count) for g, c in by.items()}
+    assert main["0"] != main["1"] and all(c.count(main[g]) >= 0.97 * len(c) for g, c in by.items())
+    members, _ = clusters.cluster(points, "id", ["x", "y", "z"], iterations=2)
+    assert members.where("id < '2'").groupBy("cluster").count().orderBy(F.desc("count")).first()["count"] >= 590
+
+
 def test_clusters_of_nothing(spark):
     members, groups = clusters.cluster_reads(spark.createDataFrame([], FEAT))
     assert members.count() == 0 and groups.count() == 0
@@ -235,6 +292,20 @@ def test_ids_equal_the_library(name, ranks):
         assert enc.encode(t) == ref.encode_ordinary(t)
 
 
+def test_other_kinds_of_vocabulary_are_refused():
+    for name in ("word_bpe_49k.json", "piece_bpe_32k.model"):
+        with pytest.raises(ValueError):
+            tokens.load(name)
+
+
+def test_memory_of_a_worker_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 5000)
+    memo = tokens._Memo(lambda k: tuple(k.encode()))
+    for i in range(300):
+        assert memo[f"{i}"] == tuple(f"{i}".encode()) and memo["x" * 1000]
+    assert len(memo) < 30 and "x" * 1000 not in memo
+
+
 def test_ids_of_empty_and_null_texts(spark):
     df = spark.createDataFrame([(1, None, [9]), (2, "", [9]), (3, " ", [9]), (4, "hi", [9])], "doc_id bigint, text string, ids array<int>")
     got = {r["doc_id"]: (r["i"], r["n"]) for r in df.select("doc_id", tokens.token_ids("text").alias("i"), tokens.token_count("text").alias("n")).collect()}
@@ -257,6 +328,8 @@ def test_mix_reaches_its_shares(spark):
     assert abs(got[(1, "a")]["reached_share"] - 0.5) < 0.06 and abs(got[(1, "b")]["reached_tokens"] - size / 2) < 0.15 * size
     assert {k for k, r in got.items() if r["short"]} == {(2, "b"), (2, "none"), (3, "e")}
     assert {r["copies"] for r in mix.where("mix_id = 2").collect()} == {3} and mix.where("source is null").count() == 0
+    sent = mixing.emit_mix(mix, docs.where("text is not null"))
+    assert sent.where("mix_id = 2").groupBy("doc_id").count().select("count").distinct().collect()[0][0] == 3 and sent.count() == mix.agg(F.sum("copies")).first()[0]
     empty_mix, empty_report = mixing.mix_sources(docs.limit(0), spark.createDataFrame(rows[:2], MIX))
     assert empty_mix.count() == 0 and all(r["short"] and r["reached_share"] == 0 for r in empty_report.collect())
 
