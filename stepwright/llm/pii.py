@@ -116,6 +116,7 @@ _SIGN_OR_WORD = re.compile(_SIGN.pattern + r"|at (?=[\w.-]+ dot )")
 _DOT = r"(?:\.|\[\.\]|\(\.\)| ?\[dot\] ?| ?\(dot\) ?| dot )"
 _HOST = re.compile(rf"[A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9-]*)+")
 _DOTS = re.compile(_DOT)
+_LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+-'"
 _TOP = re.compile(r"\.[a-z]{2,}$")
 #: Message ids are machines' names for messages: digits of base 16, with counters after dots or without.
 _MACHINE = re.compile(r"(?=[a-fA-F]*\d)[0-9a-fA-F]{8,}(?:\.\d+)*")
@@ -129,10 +130,12 @@ _SIGNS = re.compile(r"\W")
 _TWO_NUMBERS = re.compile(r"  +|[ ][-/(]?[ ]")
 
 _IDENTITY_WORDS = re.compile(r"steuer-id|steuernummer|security|sécurité sociale|identidad|\bdni\b|\bnif\b|\bnie\b|passport|insurance number")
+#: Every one of them has such a piece.
+_IDENTITY_PIECES = ("steuer", "security", "sociale", "identidad", "dni", "nif", "nie", "passport", "insurance")
 _FLAT = re.compile(r"(?:Flat|FLAT|flat|Apt\.?|Unit|Suite)[ \n]\d{1,4},?[ \n]\Z")
-#: Begins with a digit, so that the search skips the rest; what stands before is looked at afterwards.
+#: Begins with the number's last digit, so that the search skips the rest; what stands before is looked at afterwards.
 _HOUSE_FIRST = re.compile(
-    rf"\d++[a-zA-Z]?+(?:[ \n](?:bis|ter|quater|BIS|TER))?,?[ \n]((?=[^\W\d_a-z]|{'|'.join(map(re.escape, STREET_FIRST))})(?:{_LETTER}[\w'’.-]*)(?:[ \n]{_LETTER}[\w'’-]*\.?){{1,5}})"
+    rf"\d(?!\d)[a-zA-Z]?+(?:[ \n](?:bis|ter|quater|BIS|TER))?,?[ \n]((?=[^\W\d_a-z]|{'|'.join(map(re.escape, STREET_FIRST))})(?:{_LETTER}[\w'’.-]*)(?:[ \n]{_LETTER}[\w'’-]*\.?){{1,5}})"
 )
 #: The number that ends a street line, with the blank before it, and the words of the line that end there.
 _HOUSE_LAST = re.compile(r"[ \n]((?:n\.º ?|nº ?|Nr\. ?)?)(\d+ ?[a-z]?)(?![\w:/%])(?![.,-]\d)")
@@ -171,6 +174,19 @@ OTHER_LEFT = "esmtp id$"
 _OTHER = re.compile(OTHER_MASK)
 
 
+def _word_before(text: str, at: int) -> str:
+    """The same for one word, without a look at the rest where it stands apart by one blank."""
+    c = text[at - 1 : at]
+    if c and c in "\n<>":
+        return "¶"
+    if c == " ":
+        left = text[max(0, at - 61) : at - 1]
+        word = left[max(left.rfind(" "), left.rfind("\n"), left.rfind("<"), left.rfind(">")) + 1 :]
+        if word.isalpha():
+            return word.lower()
+    return _words_before(text, at, 1)
+
+
 class Scan:
     """Finds the candidates of one text.
 
@@ -190,7 +206,8 @@ class Scan:
                 end -= 1
             elif m[0][0] == "a":  # the word at stands apart
                 continue
-            start = end
+            head = t[max(0, end - 64) : end]
+            start = end - len(head) + len(head.rstrip(_LOCAL))
             while start and (t[start - 1].isalnum() or t[start - 1] in "._+-'"):
                 start -= 1
             while start < end and not (t[start].isalnum() or t[start] == "_"):
@@ -202,7 +219,7 @@ class Scan:
                 seed, sign, name = 2, "id", "id"  # says nothing about its host
             else:
                 seed = int((sign == "@" or sign == "at") and _TOP.search(name) is not None)
-            yield "email", start, host.end(), f"{local}@{name}", sign, _words_before(t, start, 1), seed, name
+            yield "email", start, host.end(), f"{local}@{name}", sign, _word_before(t, start), seed, name
 
     @staticmethod
     def _opens(t: str, a: int) -> int:
@@ -243,13 +260,19 @@ class Scan:
     @staticmethod
     def _number(t: str, a: int, s: str):
         words = _words_before(t, a, 8)
-        told = _IDENTITY_WORDS.search(words, words.rfind("9") + 1) is not None
+        told = False
+        for piece in _IDENTITY_PIECES:
+            if piece in words:
+                told = _IDENTITY_WORDS.search(words, words.rfind("9") + 1) is not None
+                break
         left = words.split(" ")[-2:]
         return "number", a, a + len(s), _SIGNS.sub("", s), s.translate(_MASK), " ".join(left), int(told), left[-1]
 
     def streets(self, t: str):
         for m in _HOUSE_FIRST.finditer(t):
             a = m.start()
+            while a and t[a - 1].isdigit():
+                a -= 1
             if a and (t[a - 1].isalnum() or t[a - 1] in "_.:/-"):
                 continue
             words = m[1].replace("\n", " ").split(" ")
@@ -275,7 +298,7 @@ class Scan:
                 continue
             flat = _FLAT.search(t, max(0, a - 14), a) if t[a - 1 : a].isspace() else None
             a = flat.start() if flat else a
-            yield "address", a, end, street, f"first {kind}", _words_before(t, a, 1), int(self._town(t, end)), ""
+            yield "address", a, end, street, f"first {kind}", _word_before(t, a), int(self._town(t, end)), ""
         for m in _HOUSE_LAST.finditer(t):
             # The last word before the number must be able to end a street; most aren't.
             i = m.start()
@@ -299,7 +322,7 @@ class Scan:
             i = first if first is not None else len(words) - 1
             kind = low[i] if first is not None else "…" + low[i][-5:]
             a = n.start(1) + len(" ".join(words[:i])) + (1 if i else 0)
-            yield "address", a, m.end(), " ".join(low[i:]), f"last {kind}", _words_before(t, a, 1), int(self._town(t, m.end())), ""
+            yield "address", a, m.end(), " ".join(low[i:]), f"last {kind}", _word_before(t, a), int(self._town(t, m.end())), ""
 
     @staticmethod
     def _town(t: str, end: int) -> bool:
@@ -342,7 +365,7 @@ class Scan:
                 chains[i] = chains[i - 1]
             top = max(top, x[1])
         for c, (start, end, given, family, style) in zip(chains, found):
-            yield "name", start, end, family, given, _words_before(t, start, 1), c, style
+            yield "name", start, end, family, given, "", c, style
 
     def _places(self, t: str):
         """Where words stand that may be given names; each different piece of the text is looked up once."""
@@ -363,6 +386,8 @@ class Scan:
         return a, m.end(), t[a:b].lower(), m[3].lower(), "plain" if plain else "loose"
 
     def _before(self, t: str, a: int, b: int):
+        if not t[a - 1 : a].isspace() or not (t[a - 2 : a - 1].isalpha() or t[a - 2 : a - 1] == ","):
+            return None
         left = t[max(0, a - 60) : a]
         m = _BEFORE.search(left)
         if not m or "\n\n" in m[0]:
@@ -400,13 +425,13 @@ def candidates(docs: DataFrame, given: DataFrame, id_col: str, text_col: str) ->
         names = [f.split(" ")[0] for f in CANDIDATE.split(", ")]
         types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
         for batch in batches:
-            rows = [[] for _ in names]
+            docs, found = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for c in finder(text):
-                    rows[0].append(doc)
-                    for k, v in enumerate(c, 1):
-                        rows[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names)
+                got = list(finder(text))
+                found += got
+                docs += [doc] * len(got)
+            columns = [docs, *(zip(*found) if found else [[]] * (len(names) - 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(columns, types)], names)
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
     return texts.mapInArrow(scan, CANDIDATE)
