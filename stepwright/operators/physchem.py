@@ -7,12 +7,12 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Hydropathy, residue mass, and pKa of residues and ends, as published for the amino acids.
+# Hydropathy, mass of the whole amino acid, and pKa of side chains and ends, as published.
 HYDROPATHY = {"A": 1.8, "R": -4.5, "N": -3.5, "D": -3.5, "C": 2.5, "Q": -3.5, "E": -3.5, "G": -0.4, "H": -3.2, "I": 4.5, "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2}
-MASS = {"A": 71.0788, "R": 156.1875, "N": 114.1038, "D": 115.0886, "C": 103.1388, "Q": 128.1307, "E": 129.1155, "G": 57.0519, "H": 137.1411, "I": 113.1594, "L": 113.1594, "K": 128.1741, "M": 131.1926, "F": 147.1766, "P": 97.1167, "S": 87.0782, "T": 101.1051, "W": 186.2132, "Y": 163.176, "V": 99.1326}
+MASS = {"A": 89.09, "R": 174.20, "N": 132.12, "D": 133.10, "C": 121.16, "Q": 146.15, "E": 147.13, "G": 75.07, "H": 155.16, "I": 131.17, "L": 131.17, "K": 146.19, "M": 149.21, "F": 165.19, "P": 115.13, "S": 105.09, "T": 119.12, "W": 204.23, "Y": 181.19, "V": 117.15}
 BASIC = {"K": 10.5, "R": 12.5, "H": 6.0}
 ACIDIC = {"D": 3.9, "E": 4.1, "C": 8.3, "Y": 10.1}
-END_AMINO, END_ACID = 9.0, 3.1
+END_AMINO, END_ACID = 9.69, 2.34
 
 
 def _table(values: dict[str, float]) -> Column:
@@ -44,7 +44,7 @@ def mean_hydropathy(sequence: Column) -> Column:
 
 
 def mass(sequence: Column) -> Column:
-    """Sum of the residues' masses, without water."""
+    """Sum of the masses of the amino acids as such; the water that bonds set free is not taken off."""
     return _sum(sequence, MASS)
 
 
@@ -52,6 +52,11 @@ def count_of(sequence: Column, letters: str) -> Column:
     return F.length(_letters(sequence, letters))
 
 
+def share_of(sequence: Column, letters: str) -> Column:
+    """Share of the residues that are among the letters; null without any."""
+    return F.try_divide(count_of(sequence, letters), length(sequence))
+
+
 def net_charge(sequence: Column, ph: float = 7.0) -> Column:
     """Charge at a pH, ends included; null without residues."""
     plus = sum((count_of(sequence, k) / F.lit(1 + 10 ** (ph - pk)) for k, pk in BASIC.items()), F.lit(1 / (1 + 10 ** (ph - END_AMINO))))
