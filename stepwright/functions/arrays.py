@@ -1,10 +1,14 @@
-"""Expressions on ARRAY<DOUBLE> columns of finite samples; all stay in the JVM and need no shuffle.
+"""Expressions on ARRAY<DOUBLE> columns of finite samples; all but prefix_sums stay in the JVM, none needs a shuffle.
 
 Empty arrays give null for statistics and empty arrays for series, unless stated otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,8 +148,17 @@ def trim_pad(x: Column, pad: float = 0.0) -> Column:
 
 
 def prefix_sums(x: Column) -> Column:
-    """Running sums, one array of the same length; two passes so that each stays linear in code, not in time."""
-    return F.transform(x, lambda v, i: a_sum(F.slice(x, 1, i + 1)))
+    """Running sums, one array of the same length, in one pass over the samples."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            flat = np.asarray(lists.flatten(), dtype=float)
+            sizes = lists.value_lengths().fill_null(0).to_pylist()
+            ends = np.cumsum([0, *sizes])
+            sums = [np.cumsum(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sums) if sums else flat))
+
+    return F.arrow_udf(run, "array<double>")(x)
 
 
 def islands(mask: Column) -> Column:
@@ -166,7 +179,7 @@ def lag_products(x: Column, mean: Column, lag: int = 1) -> Column:
 
 
 def sign_changes(x: Column, level: Column) -> Column:
-    """How often neighbours lie on different sides of a level; on it counts as above."""
+    """How often neighbours lie on different sides of a level; on it counts as below."""
     n = F.greatest(F.size(x) - 1, F.lit(0))
-    crossed = F.zip_with(F.slice(x, 1, n), F.slice(x, 2, n), lambda a, b: (a >= level) != (b >= level))
+    crossed = F.zip_with(F.slice(x, 1, n), F.slice(x, 2, n), lambda a, b: (a > level) != (b > level))
     return F.size(F.filter(crossed, lambda c: c))

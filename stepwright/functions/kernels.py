@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bounds of a warping band in samples, whatever share of the length is asked for.
+LEAST_BAND, GREATEST_BAND = 8, 500
 SEGMENTS = "array<struct<s:int,e:int,mean:double,std:double,len:int>>"
 
 
@@ -26,25 +28,35 @@ def second_order(cutoff: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def filter_once(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """The recursion, started in the state of a constant signal of the first value."""
-    z1 = (b[1:].sum() - b[0] * a[1:].sum()) / a.sum() * x[0]
-    z2 = (b[2] * (1 + a[1]) - a[2] * (b[0] + b[1])) / a.sum() * x[0]
-    out = np.empty(len(x))
-    b0, b1, b2, a1, a2 = b[0], b[1], b[2], a[1], a[2]
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + z1
-        z1 = b1 * v - a1 * y + z2
-        z2 = b2 * v - a2 * y
-        out[i] = y
+    """The recursion along each row, started in the state of a constant signal of the row's first value; all rows at once."""
+    z1 = (b[1:].sum() - b[0] * a[1:].sum()) / a.sum() * x[:, 0]
+    z2 = (b[2] * (1 + a[1]) - a[2] * (b[0] + b[1])) / a.sum() * x[:, 0]
+    out = np.empty_like(x)
+    for i in range(x.shape[1]):
+        v = x[:, i]
+        y = out[:, i] = b[0] * v + z1
+        z1 = b[1] * v - a[1] * y + z2
+        z2 = b[2] * v - a[2] * y
     return out
 
 
 def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray, pad: int = 9) -> np.ndarray:
-    """Forward and backward over an odd extension; signals of at most pad samples stay as they are."""
-    if len(x) <= pad:
+    """Forward and backward over an odd extension of each row; signals of at most pad samples stay as they are."""
+    if x.ndim == 1:
+        return zero_phase(x[None], b, a, pad)[0]
+    n = x.shape[1]
+    if n <= pad:
         return x
-    ext = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]
-    return filter_once(filter_once(ext, b, a)[::-1], b, a)[::-1][pad : pad + len(x)]
+    ext = np.c_[2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]]
+    return filter_once(filter_once(ext, b, a)[:, ::-1], b, a)[:, ::-1][:, pad : pad + n]
+
+
+def alike(series: list[np.ndarray]) -> dict[int, list[int]]:
+    """Places of the series of each length, so that a kernel takes them as the rows of one matrix."""
+    out: dict[int, list[int]] = {}
+    for k, v in enumerate(series):
+        out.setdefault(len(v), []).append(k)
+    return out
 
 
 def polyphase(x: np.ndarray, n: int) -> np.ndarray:
@@ -57,24 +69,32 @@ def polyphase(x: np.ndarray, n: int) -> np.ndarray:
     k = np.arange(20 * m + 1)
     h = np.sinc((k - 10 * m) / m) / m * np.kaiser(20 * m + 1, 5.0)
     h *= up / h.sum()
-    pos = 10 * m + np.arange(n)[:, None] * down - np.arange(len(x))[None, :] * up
-    inside = (pos >= 0) & (pos < len(h))
-    return (np.where(inside, h[np.clip(pos, 0, len(h) - 1)], 0.0) * x[None, :]).sum(1)
+    # Each output meets at most as many inputs as the window is wide.
+    first = np.ceil((np.arange(n) * down - 10 * m) / up).astype(int)
+    at = first[:, None] + np.arange(20 * m // up + 1)[None, :]
+    tap = 10 * m + np.arange(n)[:, None] * down - at * up
+    inside = (at >= 0) & (at < len(x)) & (tap >= 0) & (tap < len(h))
+    return (np.where(inside, h[np.clip(tap, 0, len(h) - 1)], 0.0) * x[np.clip(at, 0, len(x) - 1)]).sum(1)
 
 
 def split_segments(x: np.ndarray, least_gain: float = 18.0, least_len: int = 10) -> list[tuple[int, int]]:
-    """Cut where two Gaussians explain the samples better than one, again and again, until no cut gains enough."""
+    """Cut where two Gaussians explain the samples better than one, again and again, until no cut gains enough.
+
+    A piece below twice the least length stays whole, and the right part of a cut is longer than the
+    least length by one at least; parts without spread count as of spread 1e-12.
+    """
+    tiny = 1e-12
     s1, s2 = np.r_[0.0, np.cumsum(x)], np.r_[0.0, np.cumsum(x * x)]
 
     def log_sd(a, b):
         n = b - a
         var = (s2[b] - s2[a]) / n - ((s1[b] - s1[a]) / n) ** 2
-        return 0.5 * np.log(np.maximum(var, 1e-12))
+        return np.log(np.sqrt(np.where(var > 0, var, tiny * tiny)) + tiny)
 
     todo, done = [(0, len(x))], []
     while todo:
         a, b = todo.pop()
-        cuts = np.arange(a + least_len, b - least_len + 1)
+        cuts = np.arange(a + least_len, b - least_len)
         if len(cuts):
             gain = (b - a) * log_sd(a, b) - ((cuts - a) * log_sd(a, cuts) + (b - cuts) * log_sd(cuts, b))
             best = int(np.argmax(gain))
@@ -96,7 +116,7 @@ def warp_distances(x: np.ndarray, y: np.ndarray, band: float = 0.1) -> np.ndarra
     m = y.shape[1]
     if not n or not m:
         return np.full(g, np.inf)
-    w = max(math.ceil(band * max(n, m)), abs(n - m), 1)
+    w = max(min(max(math.ceil(band * max(n, m)), LEAST_BAND), GREATEST_BAND), abs(n - m))
     cost, steps = np.full((m + 1, g), np.inf), np.zeros((m + 1, g), int)
     cost[0] = 0.0
     for i in range(1, n + 1):
@@ -130,7 +150,18 @@ def _series(fn):
 def low_pass(x: Column, cutoff: float = 0.2, kind: str = "bessel") -> Column:
     """x smoothed without a shift in phase."""
     b, a = second_order(cutoff, kind)
-    return _series(lambda v: zero_phase(v, b, a))(x)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            series = _arrays(lists)
+            for at in alike(series).values():
+                for k, row in zip(at, zero_phase(np.array([series[k] for k in at]), b, a)):
+                    series[k] = row
+            flat = np.concatenate(series) if series else np.zeros(0)
+            ends = np.cumsum([0, *map(len, series)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.float64()))
+
+    return F.arrow_udf(run, "array<double>")(x)
 
 
 def resample_polyphase(x: Column, n: int) -> Column:
@@ -142,13 +173,14 @@ def segments(x: Column, least_gain: float = 18.0, least_len: int = 10) -> Column
     """x cut into segments that tile it, as structs (s, e, mean, std, len); empty for an empty signal."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("mean", pa.float64()), ("std", pa.float64()), ("len", pa.int32())]))
         for lists in batches:
-            rows = []
+            cut, ends = [], [0]
             for v in _arrays(lists):
-                cut = split_segments(v, least_gain, least_len) if len(v) else []
-                rows.append([{"s": a, "e": b, "mean": float(v[a:b].mean()), "std": float(v[a:b].std()), "len": b - a} for a, b in cut])
-            yield pa.array(rows, kind)
+                cut += [(a, b, v[a:b].mean(), v[a:b].std()) for a, b in split_segments(v, least_gain, least_len)] if len(v) else []
+                ends.append(len(cut))
+            a, b, mean, std = np.array(cut, dtype=float).reshape(-1, 4).T
+            fields = {"s": pa.array(a.astype(np.int32)), "e": pa.array(b.astype(np.int32)), "mean": pa.array(mean), "std": pa.array(std), "len": pa.array((b - a).astype(np.int32))}
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
     return F.arrow_udf(run, SEGMENTS)(x)
 

@@ -9,7 +9,7 @@ from ..functions import arrays as A
 from ..operators import features as X
 from ..operators.ranks import group_quantiles, join_groups
 from ..sources import signals as S
-from ..runtime import table
+from ..runtime import ship, table
 from .reach import r6
 
 
@@ -145,6 +145,7 @@ def array_pad_or_cut(spark, d):
 
 
 def array_prefix_sums(spark, d):
+    ship(spark)
     return _long(_reads(spark, d), A.prefix_sums(F.col("x")))
 
 
@@ -154,20 +155,27 @@ def array_low_islands(spark, d):
     return r.select("read_id", F.explode(A.islands(F.transform("x", lambda v: v < F.col("m")))).alias("i")).select("read_id", "i.s", "i.e")
 
 
-def _features(block):
+def _features(*blocks):
     def query(spark, d):
-        return _rounded(block(X.staged(_reads(spark, d))))
+        ship(spark)
+        return _rounded(X.frame(_reads(spark, d), list(blocks)))
 
     return query
 
 
-feature_basic = _features(X.basic)
-feature_slopes = _features(X.slopes)
-feature_energy_trend = _features(X.energy_trend)
-feature_rhythm = _features(X.rhythm)
-feature_trimmed_mad = _features(X.trimmed_mad)
-feature_peaks = _features(X.peaks)
-feature_drop = _features(X.drop)
+feature_basic = _features("basic")
+feature_low = _features("low")
+feature_slopes = _features("slopes")
+feature_second_slopes = _features("second_slopes")
+feature_rolling_slopes = _features(X.rolling_slopes(10))
+feature_energy_trend = _features("energy_trend")
+feature_rhythm = _features("rhythm")
+feature_zero_lag = _features("zero_lag")
+feature_multiscale = _features("multiscale")
+feature_peaks = _features("peaks")
+feature_drop = _features("drop")
+feature_steps = _features("steps")
+feature_frame_all = _features(*[k for k in X.BLOCKS if k != "steps"])
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith(("reads_", "array_", "feature_")) and callable(f)}
 
@@ -231,19 +239,99 @@ SQL = {
     "array_low_islands": _X + f""", m as (select read_id, x, {_MED} as m from reads), p as (select read_id, i - 1 as i, x[i] < m as low from m, lateral (select unnest(generate_series(1, len(x))) as i)),
       g as (select read_id, i, i - row_number() over (partition by read_id order by i) as g from p where low)
       select read_id, cast(min(i) as integer) as s, cast(max(i) + 1 as integer) as e from g group by read_id, g""",
-    "feature_basic": _ST + "select read_id, cast(n as integer) as length, " + ", ".join([_r("list_min(x)", "min"), _r("list_max(x)", "max"), _r("mean", "mean"), _r(_q("x", 0.5), "median"), _r("std", "std")] + [_r(_q("x", p / 100), f"q{p}") for p in (10, 25, 40, 60, 75, 90)] + [
-        _r(f"{_q('x', 0.75)} - {_q('x', 0.25)}", "iqr"), _r("list_max(x) - list_min(x)", "value_range"), _r(f"{_q('x', 0.9)} - {_q('x', 0.1)}", "idl"), _r(f"({_q('x', 0.25)} + {_q('x', 0.75)}) / 2", "midhinge"), _r(f"({_q('x', 0.25)} + 2 * {_q('x', 0.5)} + {_q('x', 0.75)}) / 4", "trimean"),
-        _r("case when std > 1e-12 then list_avg(list_transform(x, lambda v: pow(v - mean, 3))) / pow(std, 3) end", "skew"), _r("case when std > 1e-12 then list_avg(list_transform(x, lambda v: pow(v - mean, 4))) / pow(std, 4) - 3 end", "kurtosis"), _r("list_avg(list_transform(x, lambda v: abs(v - mean)))", "mean_abs_dev")]) + " from st",
-    "feature_slopes": _ST + "select read_id, " + ", ".join([_r("list_avg(d)", "mean_slope"), _r(_q("d", 0.5), "median_slope"), _r("sqrt(list_avg(list_transform(d, lambda v: (v - list_avg(d)) * (v - list_avg(d)))))", "std_slope"), _r("list_max(d)", "max_slope"), _r("list_min(d)", "min_slope"), _r("list_avg(list_transform(d, lambda v: abs(v)))", "mean_abs_slope")] + [_r(_q("d", p / 100), f"slope_q{p}") for p in (10, 25, 40, 60, 75, 90)] + [_r("coalesce(list_sum(list_transform(d, lambda v: abs(v))), 0)", "total_variation")]) + " from st",
-    "feature_energy_trend": _ST + """, t as (select *, case when n > 1 then (list_sum(list_transform(x, lambda v, i: v * (i - 1))) / n - mean * (n - 1) / 2.0) / ((n * n - 1) / 12.0) end as b from st)
-      select read_id, """ + ", ".join([_r("list_sum(list_transform(x, lambda v: v * v))", "energy"), _r("sqrt(list_sum(list_transform(x, lambda v: v * v)) / n)", "rms"), _r("list_sum(x)", "auc"), _r("list_sum(list_transform(x, lambda v: abs(v)))", "abs_auc"), _r("b", "trend_slope"), _r("mean - b * (n - 1) / 2.0", "trend_intercept"), _r("case when b is null then null else sqrt(greatest(std * std - b * b * ((n * n - 1) / 12.0), 0)) end", "detrended_std")]) + " from t",
-    "feature_trimmed_mad": _ST + """, t as (select read_id, s[(case when n > 10 then cast(floor(n * 0.1) as integer) else 0 end) + 1 : n - (case when n > 10 then cast(floor(n * 0.1) as integer) else 0 end)] as t from st), m as (select *, list_aggregate(t, 'quantile_cont', 0.5) as m from t)
-      select read_id, """ + _r("list_aggregate(list_transform(t, lambda v: abs(v - m)), 'quantile_cont', 0.5)", "trimmed_mad") + " from m",
-    "feature_peaks": _ST + """, p as (select read_id, x, list_aggregate(x, 'quantile_cont', 0.5) as m, list_filter(generate_series(2, n - 1), lambda i: x[i] > x[i - 1] and x[i] > x[i + 1]) as up, list_filter(generate_series(2, n - 1), lambda i: x[i] < x[i - 1] and x[i] < x[i + 1]) as down from st)
-      select read_id, cast(len(up) as integer) as n_peaks, cast(len(down) as integer) as n_troughs, """ + ", ".join([_r("list_avg(list_transform(up, lambda i: x[i])) - m", "peak_height"), _r("list_avg(list_transform(down, lambda i: x[i])) - m", "trough_depth"), _r("(list_max(up) - list_min(up)) / nullif(cast(len(up) - 1 as double), 0)", "peak_distance")]) + " from p",
-    "feature_drop": _ST + """, p as (select *, list_position(d, list_min(d)) as a from st where n > 1)
-      select read_id, cast(a as integer) as drop_at, """ + ", ".join([_r("list_aggregate(x[greatest(a - 9, 1):a], 'quantile_cont', 0.5)", "drop_before"), _r("list_min(x[a + 1:])", "drop_after"), _r("list_aggregate(x[greatest(a - 9, 1):a], 'quantile_cont', 0.5) - list_min(x[a + 1:])", "drop_depth")]) + " from p",
-    "feature_rhythm": _ST + """, r as (select *, case when n > 2 then list_transform(generate_series(2, len(d)), lambda i: d[i] - d[i - 1]) else [] end as dd from st),
-      v as (select *, list_avg(list_transform(d, lambda z: (z - list_avg(d)) * (z - list_avg(d)))) as vd, list_avg(list_transform(dd, lambda z: (z - list_avg(dd)) * (z - list_avg(dd)))) as vdd, std * std as va from r)
-      select read_id, """ + ", ".join([_r(f"len(list_filter(generate_series(1, n - 1), lambda i: (x[i] >= {e}) <> (x[i + 1] >= {e}))) / nullif(cast(n - 1 as double), 0)", c) for c, e in (("cross_rate_mean", "mean"), ("cross_rate_q25", _q("x", 0.25)), ("cross_rate_q50", _q("x", 0.5)), ("cross_rate_q75", _q("x", 0.75)))] + [_r("case when va > 1e-12 then coalesce(list_sum(list_transform(generate_series(1, n - 1), lambda i: (x[i] - mean) * (x[i + 1] - mean))), 0) / (va * n) end", "ac_lag1"), _r("va", "activity"), _r("case when va > 1e-12 then sqrt(vd / va) end", "mobility"), _r("case when va > 1e-12 and vd > 1e-12 then sqrt(vdd / vd) / sqrt(vd / va) end", "complexity")]) + " from v",
 }
+
+
+def _f(c: str, p: float) -> str:
+    """The order statistic of a list."""
+    return f"list_sort({c})[cast(floor({p}::double * (len({c}) - 1)) as integer) + 1]"
+
+
+def _dev(c: str, about: str) -> str:
+    return f"sqrt(list_avg(list_transform({c}, lambda v: (v - {about}) * (v - {about}))))"
+
+
+def _abs(c: str) -> str:
+    return f"list_transform({c}, lambda v: abs(v))"
+
+
+_DD = "(case when len(d) > 1 then list_transform(generate_series(2, len(d)), lambda i: d[i] - d[i - 1]) else [] end)"
+_Q = {f"q{k}": _f("x", k / 100) for k in (10, 25, 40, 60, 75, 90)}
+_MAD = "list_avg(list_transform(x, lambda v: abs(v - mean)))"
+_TRIM = "list_sort(x)[cast(floor(n * 0.1::double) as integer) + 1 : cast(ceil(n * 0.9::double) as integer)]"
+_MIDDLE = f"list_filter(x, lambda v: v >= {_Q['q25']} and v <= {_Q['q75']})"
+
+
+def _moments(c: str, mean: str, std: str) -> dict[str, str]:
+    m = lambda k: f"list_avg(list_transform({c}, lambda v: pow(v - {mean}, {k})))"
+    return {"skew": f"case when {std} > 1e-12 then {m(3)} / pow({std}, 3) end", "kurtosis": f"case when {std} > 1e-12 then {m(4)} / pow({std}, 4) - 3 end"}
+
+
+_ALL = _moments("x", "mean", "std")
+_LOWS = _moments("lo", "list_avg(lo)", "lo_std")
+
+
+def _diffs(c: str, name: str, total: str) -> dict[str, str]:
+    parts = {f"mean_{name}": f"list_avg({c})", f"median_{name}": _q(c, 0.5), f"std_{name}": _dev(c, f"list_avg({c})"), f"max_{name}": f"list_max({c})", f"min_{name}": f"list_min({c})", f"avg_abs_{name}": f"list_avg({_abs(c)})", **{f"{name}_q{k}": _f(c, k / 100) for k in (10, 25, 40, 60, 75, 90)}, total: f"list_sum({_abs(c)})"}
+    return {k: f"coalesce({v}, 0)" for k, v in parts.items()}
+
+
+def _crossings(level: str) -> str:
+    return f"len(list_filter(generate_series(1, n - 1), lambda i: (x[i] > {level}) <> (x[i + 1] > {level}))) / greatest(n - 1, 1)::double"
+
+
+def _scale(k: int) -> dict[str, str]:
+    y = f"y{k}"
+    pairs = f"generate_series(1, len({y}) - 1)"
+    return {
+        f"ms{k}_std": _dev(y, f"list_avg({y})"), f"ms{k}_iqr": f"{_q(y, 0.75)} - {_q(y, 0.25)}", f"ms{k}_tv_mean": f"coalesce(list_avg(list_transform({pairs}, lambda i: abs({y}[i + 1] - {y}[i]))), 0)",
+        f"ms{k}_ac1": f"coalesce(list_sum(list_transform({pairs}, lambda i: ({y}[i] - list_avg({y})) * ({y}[i + 1] - list_avg({y})))) / nullif(list_sum(list_transform({y}, lambda v: (v - list_avg({y})) * (v - list_avg({y})))), 0), 0)",
+        f"ms{k}_zcr": f"len(list_filter({pairs}, lambda i: {y}[i] * {y}[i + 1] < 0)) / greatest(len({y}) - 1, 1)::double",
+    }
+
+
+_POOLED = ", ".join(f"case when n // {k} > 0 then list_transform(generate_series(0, n // {k} - 1), lambda i: list_avg(x[i * {k} + 1 : (i + 1) * {k}])) else x end as y{k}" for k in (4, 8, 16, 32))
+_WITH = _ST + f""", dd as (select *, {_DD} as dd from st), lo as (select *, {_dev('lo', 'list_avg(lo)')} as lo_std from (select *, list_filter(x, lambda v: v <= 0) as lo from st)),
+  tr as (select *, (list_sum(list_transform(x, lambda v, i: v * (i - 1))) / n - mean * (n - 1) / 2.0) / nullif((n * n - 1) / 12.0::double, 0) as b from st),
+  hj as (select *, std * std as va, coalesce(pow({_dev('d', 'list_avg(d)')}, 2), 0) as vd, coalesce(pow({_dev('dd', 'list_avg(dd)')}, 2), 0) as vdd from dd),
+  ms as (select *, {_POOLED} from st),
+  lg as (select *, list_filter(generate_series(1, n - 1), lambda k: list_sum(list_transform(generate_series(1, n - k), lambda i: (x[i] - mean) * (x[i + k] - mean))) <= 1e-12 * std * std * n) as lags from st),
+  pos as (select read_id, i, x[i] as v from st, lateral (select unnest(generate_series(1, len(x))) as i)),
+  runs as (select read_id, any_value(v) as v, min(i) - 1 as s, max(i) - 1 as e from (select *, sum(new) over (partition by read_id order by i) as g from (select *, case when v = lag(v) over (partition by read_id order by i) then 0 else 1 end as new from pos)) group by read_id, g),
+  near as (select *, lag(v) over w as p, lead(v) over w as q, (s + e) // 2 as mid from runs window w as (partition by read_id order by s)),
+  ups as (select *, mid - lag(mid) over (partition by read_id order by mid) as gap from near where v > p and v > q), downs as (select * from near where v < p and v < q),
+  pk as (select st.*, med, u.*, w.* from (select *, list_aggregate(x, 'quantile_cont', 0.5) as med from st) st
+    left join (select read_id as r1, count(*) as nu, avg(v) as vu, list(gap::double) filter (gap is not null) as gaps from ups group by all) u on r1 = read_id
+    left join (select read_id as r2, count(*) as nd, avg(v) as vd from downs group by all) w on r2 = read_id),
+  roll as (select read_id, list(b order by i) filter (c = 10 and k > 1e-12) as r from (select read_id, i, regr_slope(v, i) over w as b, var_pop(v) over w as k, count(*) over w as c from pos window w as (partition by read_id order by i rows between current row and 9 following)) group by read_id),
+  roll100 as (select read_id, list(b order by i) filter (c = 100 and k > 1e-12) as r from (select read_id, i, regr_slope(v, i) over w as b, var_pop(v) over w as k, count(*) over w as c from pos window w as (partition by read_id order by i rows between current row and 99 following)) group by read_id),
+  dr0 as (select *, list_position(d, list_min(d)) as a from st where n > 1),
+  dr1 as (select *, list_aggregate(x[greatest(a - 29, 1) : a], 'quantile_cont', 0.5) as before, list_min(x[a + 1 : a + 30]) as after from dr0),
+  dr as (select *, coalesce(list_filter(generate_series(a + 1, n), lambda i: x[i] > before - 0.25::double * (before - after))[1] - a - 1, n - a) as stay from dr1)
+"""
+_AREA = "coalesce(list_sum(list_transform(x[a + 1 : a + stay], lambda v: before - v)), 0)"
+_BLOCKS = {
+    "feature_basic": ("st", {"length": "cast(n as integer)", "min": "list_min(x)", "max": "list_max(x)", "mean": "mean", "median": _q("x", 0.5), **_Q, "iqr": f"{_Q['q75']} - {_Q['q25']}", "range": "list_max(x) - list_min(x)", "idl": f"{_Q['q90']} - {_Q['q10']}", "idl_60_40": f"{_Q['q60']} - {_Q['q40']}", "midhinge": f"({_Q['q25']} + {_Q['q75']}) / 2", "trimean": f"({_Q['q25']} + 2 * {_q('x', 0.5)} + {_Q['q75']}) / 4", "interquartile_mean": f"list_avg({_MIDDLE})", "MAD": _MAD, "normalized_MAD": f"{_MAD} / (abs({_q('x', 0.5)}) + 1e-12)", "MAD_over_IQR": f"{_MAD} / ({_Q['q75']} - {_Q['q25']} + 1e-12)", "trimmed_MAD": f"case when n > 10 then list_aggregate(list_transform({_TRIM}, lambda v: abs(v - {_q(_TRIM, 0.5)})), 'quantile_cont', 0.5) else {_MAD} end", "coef_var": "std / (abs(mean) + 1e-12)", "std_all": "std", "skew_all": _ALL["skew"], "kurtosis_all": _ALL["kurtosis"]}),
+    "feature_low": ("lo", {"low_std": "lo_std", "low_skew": _LOWS["skew"], "low_kurtosis": _LOWS["kurtosis"], "length_th": "cast(len(lo) as integer)"}),
+    "feature_slopes": ("st", _diffs("d", "slope", "total_variation")),
+    "feature_second_slopes": ("dd", _diffs("dd", "second_slope", "second_total_variation")),
+    "feature_rolling_slopes": ("roll", {k: f"coalesce({v}, 0)" for k, v in {"median_rolling_slope": _q("r", 0.5), "rolling_slope_q60": _q("r", 0.6), "std_rolling_slope": _dev("r", "list_avg(r)"), "mean_rolling_slope": "list_avg(r)", "max_rolling_slope": "list_max(r)", "min_rolling_slope": "list_min(r)", "avg_abs_rolling_slope": f"list_avg({_abs('r')})", "rolling_slope_q25": _q("r", 0.25), "rolling_slope_q75": _q("r", 0.75)}.items()}),
+    "feature_energy_trend": ("tr", {"energy": "list_sum(list_transform(x, lambda v: v * v))", "rms": "sqrt(list_sum(list_transform(x, lambda v: v * v)) / n)", "auc": "list_sum(x)", "abs_auc": f"list_sum({_abs('x')})", "trend_slope": "b", "trend_intercept": "mean - b * (n - 1) / 2.0", "detrended_std": "case when b is not null then sqrt(greatest(std * std - b * b * ((n * n - 1) / 12.0::double), 0)) end"}),
+    "feature_rhythm": ("hj", {"zcr": "len(list_filter(generate_series(1, n - 1), lambda i: x[i] * x[i + 1] < 0)) / greatest(n - 1, 1)::double", "ac_lag1": "case when va > 1e-12 then coalesce(list_sum(list_transform(generate_series(1, n - 1), lambda i: (x[i] - mean) * (x[i + 1] - mean))), 0) / (va * n) else 0 end", "hjorth_activity": "va", "hjorth_mobility": "sqrt(vd / (va + 1e-12))", "hjorth_complexity": "sqrt(vdd / (vd + 1e-12)) / (sqrt(vd / (va + 1e-12)) + 1e-12)", **{f"cross_rate_q{k}": _crossings(_q("x", k / 100)) for k in (10, 25, 50, 75, 90)}}),
+    "feature_zero_lag": ("lg", {"ac_zero_cross_lag": "cast(case when n < 2 or std = 0 then 0 else coalesce(list_min(lags), n - 1) end as double)"}),
+    "feature_multiscale": ("ms", {k: v for s in (4, 8, 16, 32) for k, v in _scale(s).items()}),
+    "feature_peaks": ("pk", {"n_peaks": "coalesce(nu, 0)::double", "mean_peak_val": "coalesce(vu, 0)", "mean_peak_prom": "coalesce(vu - med, 0)", "mean_peak_dist": "list_avg(gaps)", "median_peak_dist": _q("gaps", 0.5), "peak_dist_q10": _f("gaps", 0.1), "peak_dist_q90": _f("gaps", 0.9), "n_troughs": "coalesce(nd, 0)::double", "mean_trough_val": "coalesce(vd, 0)", "mean_trough_prom": "coalesce(med - vd, 0)"}),
+    "feature_drop": ("(select read_id, n, x, a, before, after, stay from dr union all select read_id, n, x, 0, x[1], x[1], 0 from st where n = 1)", {"drop_idx": "(a - 1)::double", "drop_pre_mean": "before", "drop_post_min": "after", "drop_depth": "before - after", "drop_duration": "stay::double", "drop_auc": _AREA, "drop_auc_norm": f"{_AREA} / (list_sum({_abs('x')}) + 1e-12)"}),
+}
+_COUNTS = ("length", "length_th")
+
+
+def _select(name: str, table: str = "") -> str:
+    source, parts = _BLOCKS[name]
+    cells = [f'{v} as "{k}"' if k in _COUNTS else f'round({v} + 1e-8, 6) as "{k}"' for k, v in parts.items()]
+    return "select read_id, " + ", ".join(cells) + f" from {table or source}"
+
+
+SQL.update({k: _WITH + _select(k) for k in _BLOCKS})
+_FRAME = [_select(k, "roll100" if k == "feature_rolling_slopes" else "") for k in _BLOCKS]
+SQL["feature_frame_all"] = _WITH + "select * from " + " join ".join(f"({q}) t{i}" + (" using (read_id)" if i else "") for i, q in enumerate(_FRAME))
