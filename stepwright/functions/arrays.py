@@ -161,6 +161,28 @@ def prefix_sums(x: Column) -> Column:
     return F.arrow_udf(run, "array<double>")(x)
 
 
+def without(x: Column, value: float = 0.0) -> Column:
+    """x without all samples of a value."""
+    return F.filter(x, lambda v: v != value)
+
+
+def trim_trailing(x: Column, pad: float = 0.0) -> Column:
+    """x without the padding at its end."""
+    last = F.array_max(F.transform(x, lambda v, i: F.when(v != pad, i + 1)))
+    return F.slice(x, 1, F.coalesce(last, F.lit(0)))
+
+
+def fill_gaps(mask: Column, longest: int) -> Column:
+    """A boolean array with runs of false of at most `longest` made true, those at either end too."""
+    gaps = F.filter(islands(F.transform(mask, lambda m: ~m)), lambda g: g["e"] - g["s"] <= longest)
+    return let(gaps, lambda gs: F.transform(mask, lambda m, i: m | F.exists(gs, lambda g: (g["s"] <= i) & (i < g["e"]))))
+
+
+def extend(start: Column, end: Column, by: int, size: Column) -> tuple[Column, Column]:
+    """A region made longer at both ends, within 0 and size."""
+    return F.greatest(start - by, F.lit(0)), F.least(end + by, size)
+
+
 def islands(mask: Column) -> Column:
     """Runs of true in a boolean array as structs (s, e), e exclusive."""
     starts = F.filter(

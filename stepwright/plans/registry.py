@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evaluation, manifest, models, reach, regions, run_metrics, signals, skewed, streams
+from . import evaluation, manifest, models, prepare, reach, regions, run_metrics, signals, skewed, streams
 
-MODULES = [skewed, reach, manifest, signals, evaluation, models, regions, run_metrics, streams]
+MODULES = [skewed, reach, manifest, signals, evaluation, models, regions, run_metrics, prepare, streams]
 
 
 def queries() -> dict[str, Callable]:

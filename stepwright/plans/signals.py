@@ -13,8 +13,8 @@ from ..runtime import ship, table
 from .reach import r6
 
 
-def _reads(spark: SparkSession, d: str) -> DataFrame:
-    return S.reads_once(table(spark, d, "peptide_signals"))
+def _reads(spark: SparkSession, d: str, signal: bool = True) -> DataFrame:
+    return S.reads_once(table(spark, d, "peptide_signals"), signal)
 
 
 def _finite(c: str):
@@ -31,11 +31,11 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def reads_per_class(spark, d):
-    return _reads(spark, d).groupBy("class").agg(F.count("*").alias("n_reads"), F.countDistinct("run_name").alias("n_runs"))
+    return _reads(spark, d, False).groupBy("class").agg(F.count("*").alias("n_reads"), F.countDistinct("run_name").alias("n_runs"))
 
 
 def reads_spanning(spark, d):
-    return S.spanning(_reads(spark, d)).select("read_id", "class", "ref_start", "ref_end")
+    return S.spanning(_reads(spark, d, False)).select("read_id", "class", "ref_start", "ref_end")
 
 
 def reads_funnel(spark, d):
@@ -64,7 +64,7 @@ def reads_length_stats(spark, d):
 
 def reads_run_stats(spark, d):
     """Robust statistics of the calibrated reads of each run."""
-    reads = _reads(spark, d).select("run_name", _finite("global_median").alias("med"), _finite("global_mad").alias("dev"))
+    reads = _reads(spark, d, False).select("run_name", _finite("global_median").alias("med"), _finite("global_mad").alias("dev"))
     base = reads.groupBy("run_name").agg(F.count("*").alias("n_reads"), F.count("med").alias("n_calibrated"), F.min("med").alias("least"), F.max("med").alias("greatest"))
     out = base
     for col, name in (("med", "median"), ("dev", "mad")):
@@ -144,6 +144,23 @@ def array_pad_or_cut(spark, d):
     return _long(_reads(spark, d), A.pad_or_cut(F.col("x"), 32))
 
 
+def array_without_zeros(spark, d):
+    """Samples in whole units over the read's least, without the zeros among them."""
+    r = _reads(spark, d).withColumn("least", F.array_min("x"))
+    return _long(r, A.without(F.transform("x", lambda v: F.floor(v - F.col("least")).cast("double"))))
+
+
+def array_trim_trailing(spark, d):
+    return _long(_reads(spark, d), A.trim_trailing(A.pad_or_cut(F.col("x"), 40)))
+
+
+def array_filled_islands(spark, d):
+    """Stretches below the read's median after gaps of up to two samples are filled."""
+    r = _reads(spark, d).withColumn("m", A.a_median(F.col("x"))).withColumn("low", F.transform("x", lambda v: v < F.col("m")))
+    r = r.withColumn("low", A.fill_gaps(F.col("low"), 2))
+    return r.select("read_id", F.explode(A.islands(F.col("low"))).alias("i")).select("read_id", "i.s", "i.e")
+
+
 def array_prefix_sums(spark, d):
     ship(spark)
     return _long(_reads(spark, d), A.prefix_sums(F.col("x")))
@@ -236,6 +253,12 @@ SQL = {
     "array_block_means": _series("list_transform(generate_series(0, len(x) // 4 - 1), lambda i: (x[i * 4 + 1] + x[i * 4 + 2] + x[i * 4 + 3] + x[i * 4 + 4]) / 4)"),
     "array_pad_or_cut": _series("list_transform(generate_series(1, 32), lambda i: coalesce(x[i], 0))"),
     "array_prefix_sums": _series("list_transform(generate_series(1, len(x)), lambda i: list_sum(x[1:i]))"),
+    "array_without_zeros": _series("list_filter(list_transform(x, lambda v: floor(v - list_min(x))), lambda v: v <> 0)"),
+    "array_trim_trailing": _series("(select x[1 : coalesce(list_max(list_filter(generate_series(1, least(len(x), 40)), lambda i: x[i] <> 0)), 0)])"),
+    "array_filled_islands": _X + f""", m as (select read_id, x, {_MED} as m from reads), p as (select read_id, i - 1 as i, x[i] < m as low from m, lateral (select unnest(generate_series(1, len(x))) as i)),
+      g as (select *, i - row_number() over (partition by read_id, low order by i) as g from p), k as (select read_id, i, low or count(*) over (partition by read_id, low, g) <= 2 as low from g),
+      h as (select read_id, i, i - row_number() over (partition by read_id order by i) as h from k where low)
+      select read_id, cast(min(i) as integer) as s, cast(max(i) + 1 as integer) as e from h group by read_id, h""",
     "array_low_islands": _X + f""", m as (select read_id, x, {_MED} as m from reads), p as (select read_id, i - 1 as i, x[i] < m as low from m, lateral (select unnest(generate_series(1, len(x))) as i)),
       g as (select read_id, i, i - row_number() over (partition by read_id order by i) as g from p where low)
       select read_id, cast(min(i) as integer) as s, cast(max(i) + 1 as integer) as e from g group by read_id, g""",

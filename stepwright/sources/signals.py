@@ -29,15 +29,16 @@ def format_signal(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: v.cast("string")), " ")
 
 
-def reads_once(rows: DataFrame) -> DataFrame:
+def reads_once(rows: DataFrame, signal: bool = True) -> DataFrame:
     """Each read once, as first received, with its signal parsed into x; rows without read_id are left out.
 
-    Ties in the time of receipt go to the first run name, nulls first.
+    Ties in the time of receipt go to the first run name, nulls first. Without signal its text isn't
+    even read: what needs only a read's numbers should not shuffle its samples.
     """
-    names = [f.name for f in SIGNAL_SCHEMA if f.name != "read_id"]
+    names = [f.name for f in SIGNAL_SCHEMA if f.name != "read_id" and (signal or f.name != "signal")]
     first = F.min(F.struct("received_at", "run_name", "class", *names, "acquired_at")).alias("r")
     once = rows.where("read_id is not null").groupBy("read_id").agg(first).select("read_id", "r.*")
-    return once.withColumn("x", parse_signal(F.col("signal")))
+    return once.withColumn("x", parse_signal(F.col("signal"))) if signal else once
 
 
 def spanning(rows: DataFrame, start_by: int = 30, end_from: int = 110) -> DataFrame:
