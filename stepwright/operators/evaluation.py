@@ -85,7 +85,7 @@ def coverage(preds: DataFrame, thresholds: list[float]) -> DataFrame:
     return kept.select("threshold", F.try_divide("kept", "total").alias("coverage"), F.try_divide("hits", "kept").alias("accuracy"))
 
 
-def precision_recall(preds: DataFrame) -> DataFrame:
+def _points(preds: DataFrame) -> DataFrame:
     """Per predicted label, its points of precision and recall by falling confidence, ties together.
 
     Points are counted per label and confidence first, so the running sums go over different
@@ -97,14 +97,18 @@ def precision_recall(preds: DataFrame) -> DataFrame:
     surest_first = points.withColumn("key", -F.col("confidence"))
     run = sum_before(surest_first, ["label"], "key", "n").withColumn("seen", F.col("before") + F.col("n")).drop("before")
     run = sum_before(run, ["label"], "key", "hit").withColumn("hits", F.col("before") + F.col("hit")).join(support, "label")
-    return run.select("label", "confidence", (F.col("hits") / F.col("seen")).alias("precision"), (F.col("hits") / F.col("support")).alias("recall"))
+    return run.select("label", "confidence", "hit", "support", (F.col("hits") / F.col("seen")).alias("precision"), (F.col("hits") / F.col("support")).alias("recall"))
+
+
+def precision_recall(preds: DataFrame) -> DataFrame:
+    """The points of precision and recall of each predicted label: (label, confidence, precision, recall)."""
+    return _points(preds).drop("hit", "support")
 
 
-def average_precision(points: DataFrame) -> DataFrame:
-    """Sum over a label's points of the gain in recall times the precision."""
-    down = W.partitionBy("label").orderBy(F.desc("confidence"))
-    gain = F.col("recall") - F.coalesce(F.lag("recall").over(down), F.lit(0.0))
-    return points.withColumn("part", gain * F.col("precision")).groupBy("label").agg(F.sum("part").alias("average_precision"))
+def average_precision(preds: DataFrame) -> DataFrame:
+    """Sum over a label's points of the gain in recall, which is its own hits over the support, times the precision."""
+    part = F.col("hit") / F.col("support") * F.col("precision")
+    return _points(preds).groupBy("label").agg(F.sum(part).alias("average_precision"))
 
 
 def calibration_bins(preds: DataFrame, bins: int = 10) -> DataFrame:

@@ -43,9 +43,13 @@ def class_by_dataset(clean: DataFrame) -> DataFrame:
 
 
 def replicate_labels(clean: DataFrame) -> DataFrame:
-    """Runs of a class numbered in order of their names: (class, run, replicate), such as KORV7-rep2."""
+    """Runs of a class numbered in order of their names: (class, run, replicate), such as KORV7-rep2.
+
+    Names of digits only are ordered as numbers, before the others. One window per class goes over its
+    different runs, of which there are thousands at most, not over entries or reads.
+    """
     runs = clean.where("run is not null and class is not null").select("class", "run").distinct()
-    number = F.row_number().over(W.partitionBy("class").orderBy("run"))
+    number = F.row_number().over(W.partitionBy("class").orderBy(F.when(F.col("run").rlike("^[0-9]{1,18}$"), F.col("run").cast("long")).asc_nulls_last(), "run"))
     return runs.select("class", "run", F.concat("class", F.lit("-rep"), number).alias("replicate"))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 
 from ..runtime import materialize
 
-#: Blocks that a group's values are cut into.
-BLOCKS = 128
+#: Values that a block of a group should hold at most, about, and the bounds of the number of blocks.
+BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 200_000, 16, 4096
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -26,7 +26,7 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(right, cond, how).drop(*[f"_key_{k}" for k in keys])
 
 
-def sum_before(rows: DataFrame, by: list[str], value: str, weight: str, blocks: int = BLOCKS, written: bool = False) -> DataFrame:
+def sum_before(rows: DataFrame, by: list[str], value: str, weight: str, blocks: int | None = None, written: bool = False) -> DataFrame:
     """rows with before: the sum of weight over the rows of the same group with smaller values.
 
     rows has one row per group and value; groups may be null. value is a number without NaN. It is read
@@ -36,6 +36,8 @@ def sum_before(rows: DataFrame, by: list[str], value: str, weight: str, blocks:
         rows = materialize(rows, "counts")
     if not by:
         return sum_before(rows.withColumn("_all", F.lit(1)), ["_all"], value, weight, blocks, True).drop("_all")
+    if blocks is None:  # the count of a written table comes from its footers
+        blocks = min(max(-(-rows.count() // BLOCK_ROWS), LEAST_BLOCKS), MOST_BLOCKS)
     cuts = [i / blocks for i in range(1, blocks)]
     bounds = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, cuts, 4 * blocks)).alias("_cuts"))
     placed = (
@@ -83,11 +85,11 @@ def average_ranks(rows: DataFrame, by: list[str], value: str, rank: str) -> Data
 def first_by_hash(rows: DataFrame, by: str, id_col: str, take: Column, seed: int = 0) -> DataFrame:
     """Of each group the first take entries in the order of a hash, marked: rows (by, id) with picked.
 
-    take may use n, the size of the group. Entries are ranked within the 256 blocks of their hash's
+    take may use n, the size of the group. Entries are ranked within the 4,096 blocks of their hash's
     first digits, and blocks by their sums, so a large group is many tasks' work.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    placed = rows.select(by, id_col, h.alias("_h")).withColumn("_block", F.substring("_h", 1, 2))
+    placed = rows.select(by, id_col, h.alias("_h")).withColumn("_block", F.substring("_h", 1, 3))
     sizes = placed.groupBy(by, "_block").agg(F.count("*").alias("_c"))
     run = W.partitionBy(by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(by, "_block", F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy(by)).alias("n"))

@@ -11,8 +11,8 @@ from ..runtime import materialize
 TRACK = 64
 
 
-def heavy_candidates(rows: DataFrame, key: str, least_share: float = 0.05) -> DataFrame:
-    """The values of key that may hold least_share of all rows: (key_value).
+def sketch_keys(rows: DataFrame, key: str, least_share: float = 0.05) -> DataFrame:
+    """One row, written: the number of all rows, and the values of key that may hold least_share of them (all_rows, keys).
 
     One pass with a sketch of frequent items per partition, merged. A value with that share of all
     rows is always among the candidates: the sketch tracks TRACK values for each heavy one that is
@@ -22,7 +22,14 @@ def heavy_candidates(rows: DataFrame, key: str, least_share: float = 0.05) -> Da
     possible = int(1 / least_share) + 1
     tracked = 1 << (possible * TRACK - 1).bit_length()
     sketch = F.expr(f"approx_top_k({key}, {2 * possible + 1}, {tracked})")
-    return rows.agg(sketch.alias("top")).select(F.explode("top.item").alias("key_value")).where("key_value is not null")
+    one = rows.agg(F.count("*").alias("all_rows"), sketch.alias("top"))
+    return materialize(one.select("all_rows", F.array_compact(F.transform("top", lambda t: t["item"])).alias("keys")), "sketch")
+
+
+def heavy_candidates(rows: DataFrame, key: str, least_share: float = 0.05, sketch: DataFrame | None = None) -> DataFrame:
+    """The candidates of sketch_keys as rows (key_value), to be broadcast: they are few by construction."""
+    sketch = sketch if sketch is not None else sketch_keys(rows, key, least_share)
+    return F.broadcast(sketch.select(F.explode("keys").alias("key_value")))
 
 
 def skew_aggregate(
@@ -30,21 +37,23 @@ def skew_aggregate(
     key: str,
     aggs: list[Column],
     least_share: float = 0.05,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregates per key: (key_value, heavy, n_rows, row_share, aggs...), for keys of any imbalance.
 
     Candidates for heavy keys come from a sketch; they are few by construction and go to all tasks by
-    a broadcast join, where their rows are aggregated in place, spread over salts, and only partial
+    a broadcast join, where their rows are aggregated in place, wherever they are, and only partial
     results travel. All other keys take an ordinary shuffle. Both results are put together.
 
     heavy is exact: n_rows of at least least_share of all rows, those with a null key included in all
     rows but no key of their own. aggs must be aggregates of the rows' columns that Spark evaluates in
     two steps; distinct counts belong in skew_distinct. Empty tables give no rows.
     """
-    heavy = F.broadcast(materialize(heavy_candidates(rows, key, least_share), "heavy"))
+    sketch = sketch if sketch is not None else sketch_keys(rows, key, least_share)
+    heavy = heavy_candidates(rows, key, least_share, sketch)
     keyed = rows.where(F.col(key).isNotNull())
     on = F.col(key) == F.col("key_value")
-    total = rows.agg(F.count("*").alias("all_rows"))
+    total = sketch.select("all_rows")
     named = [F.count("*").alias("n_rows"), *aggs]
     in_place = keyed.join(heavy, on).groupBy("key_value").agg(*named)
     shuffled = keyed.join(heavy, on, "left_anti").groupBy(F.col(key).alias("key_value")).agg(*named)
@@ -62,13 +71,13 @@ def skew_aggregate(
     )
 
 
-def skew_distinct(rows: DataFrame, key: str, value: str, salts: int = 64, least_share: float = 0.05) -> DataFrame:
+def skew_distinct(rows: DataFrame, key: str, value: str, salts: int = 64, least_share: float = 0.05, sketch: DataFrame | None = None) -> DataFrame:
     """Exact number of different values per key: (key_value, n_distinct); null values don't count.
 
     The values of heavy keys are dealt to salts by hash and counted there, so one key is many tasks'
     work; the other keys are counted after an ordinary shuffle.
     """
-    heavy = F.broadcast(materialize(heavy_candidates(rows, key, least_share), "heavy"))
+    heavy = heavy_candidates(rows, key, least_share, sketch)
     keyed = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).where("k is not null")
     salted = (
         keyed.join(heavy, F.col("k") == F.col("key_value"))
@@ -86,7 +95,7 @@ def skew_distinct(rows: DataFrame, key: str, value: str, salts: int = 64, least_
     return salted.unionByName(rest)
 
 
-def skew_join(rows: DataFrame, dim: DataFrame, key: str, least_share: float = 0.05) -> DataFrame:
+def skew_join(rows: DataFrame, dim: DataFrame, key: str, least_share: float = 0.05, sketch: DataFrame | None = None) -> DataFrame:
     """rows joined with dim on key, inner, dim having at most one row per key.
 
     dim's rows of the heavy keys are few and are broadcast; the other keys join by a shuffle. Columns
@@ -96,8 +105,7 @@ def skew_join(rows: DataFrame, dim: DataFrame, key: str, least_share: float = 0.
     clash = set(rows.columns) & set(dim.columns) - {key}
     for c in clash:
         dim = dim.withColumnRenamed(c, f"{c}_dim")
-    heavy = materialize(heavy_candidates(rows, key, least_share), "heavy").withColumnRenamed("key_value", "heavy_key")
-    heavy = F.broadcast(heavy)
+    heavy = F.broadcast(heavy_candidates(rows, key, least_share, sketch).withColumnRenamed("key_value", "heavy_key"))
     on = F.col(key) == F.col("heavy_key")
     heavy_dim = dim.join(heavy, on, "left_semi")
     big = rows.join(heavy, on, "left_semi").join(F.broadcast(heavy_dim), key)

@@ -63,7 +63,7 @@ def eval_precision_recall(spark, d):
 
 
 def eval_average_precision(spark, d):
-    return _rounded(E.average_precision(E.precision_recall(predictions(spark, d))))
+    return _rounded(E.average_precision(predictions(spark, d)))
 
 
 def eval_calibration(spark, d):

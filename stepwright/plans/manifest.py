@@ -83,7 +83,7 @@ SQL = {
     "manifest_first_entries": _C + "select run, entry_id, file, class, dataset from (select *, row_number() over (partition by run order by entry_id) as k from clean where run is not null) where k = 1",
     "manifest_class_by_dataset": _C + """select class, count(*) as n, count(*) filter (dataset = 'train') as n_train, count(*) filter (dataset = 'test') as n_test,
       count(*) filter (dataset is null or dataset not in ('train', 'test')) as n_other from clean group by class""",
-    "manifest_replicates": _C + """select class, run, class || '-rep' || row_number() over (partition by class order by run) as replicate
+    "manifest_replicates": _C + """select class, run, class || '-rep' || row_number() over (partition by class order by case when regexp_matches(run, '^[0-9]{1,18}$') then cast(run as bigint) end nulls last, run) as replicate
       from (select distinct class, run from clean where run is not null and class is not null)""",
     "manifest_class_weights": _C + """select class, n, round(sum(n) over () / cast(count(*) over () * n as double) + 1e-8, 6) as weight
       from (select class, count(*) as n from clean where class is not null group by class having count(*) >= 2)""",

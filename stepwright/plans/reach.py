@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.names import sql_run_key
 from ..operators import reach as R
+from ..operators.ranks import group_quantiles, join_groups
 from ..runtime import table
 
 #: The thresholds that reports use.
@@ -90,11 +91,12 @@ def reach_late_reports(spark, d):
     """Per day of report the rows delivered, the reports, and how late the median one came in minutes."""
     rows = table(spark, d, "alignment_stats_summary")
     delay = (F.unix_timestamp("received_at") - F.unix_timestamp("reported_at")) / 60.0
-    return (
-        rows.groupBy(F.date_format("reported_at", "yyyy-MM-dd").alias("day"))
-        .agg(F.count("*").alias("n_rows"), F.countDistinct("row_id").alias("n_reports"), F.median(delay).alias("median_delay"))
-        .withColumn("median_delay", r6(F.col("median_delay")))
-    )
+    dated = rows.select(F.date_format("reported_at", "yyyy-MM-dd").alias("day"), "row_id", delay.alias("delay"))
+    # Reports are counted once per day first, and the median from counts: no task holds the rows of a day.
+    once = dated.groupBy("day", "row_id").agg(F.count("*").alias("n"))
+    counts = once.groupBy("day").agg(F.sum("n").alias("n_rows"), F.count("row_id").alias("n_reports"))
+    middle = group_quantiles(dated, ["day"], "delay", {"median_delay": 0.5})
+    return join_groups(counts, middle, ["day"], "left").withColumn("median_delay", r6(F.col("median_delay")))
 
 
 QUERIES = {f.__name__: f for f in (reach_long, reach_wide, reach_bins, reach_fractions, reach_drop_off_by_reference, reach_drop_off_overall, reach_directions, reach_max_normalised, reach_selected, reach_slices, reach_top_runs, reach_reference_shares, reach_late_reports)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import skew_aggregate, skew_distinct, skew_join
+from ..operators.skew import sketch_keys, skew_aggregate, skew_distinct, skew_join
 from ..runtime import table
 
 FIELDS = (("templaterc", "class"), ("alignment_stats_summary", "reference"))
@@ -21,23 +21,26 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_reference_results(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "alignment_stats_summary")
     aggs = [F.sum("count").alias("total_count"), F.max("threshold").alias("max_threshold"), F.min("reported_at").alias("first_report")]
-    totals = skew_aggregate(rows, "reference", aggs)
-    runs = skew_distinct(rows, "reference", "run").withColumnRenamed("n_distinct", "n_runs")
+    sketch = sketch_keys(rows, "reference")
+    totals = skew_aggregate(rows, "reference", aggs, sketch=sketch)
+    runs = skew_distinct(rows, "reference", "run", sketch=sketch).withColumnRenamed("n_distinct", "n_runs")
     return totals.join(runs, "key_value").select("key_value", "heavy", "n_rows", "total_count", "max_threshold", "first_report", "n_runs")
 
 
 def p4_class_results(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "templaterc")
-    totals = skew_aggregate(rows, "class", [F.count("file_path").alias("n_paths"), F.min("entry_id").alias("first_entry")])
-    runs = skew_distinct(rows, "class", "run_name").withColumnRenamed("n_distinct", "n_runs")
+    sketch = sketch_keys(rows, "class")
+    totals = skew_aggregate(rows, "class", [F.count("file_path").alias("n_paths"), F.min("entry_id").alias("first_entry")], sketch=sketch)
+    runs = skew_distinct(rows, "class", "run_name", sketch=sketch).withColumnRenamed("n_distinct", "n_runs")
     return totals.join(runs, "key_value").select("key_value", "heavy", "n_rows", "n_paths", "first_entry", "n_runs")
 
 
 def p4_report_shares(spark: SparkSession, d: str) -> DataFrame:
     """Each report with its count as a share of the greatest count of its reference."""
     rows = table(spark, d, "alignment_stats_summary").select("row_id", "reference", "count", "received_at")
-    dim = skew_aggregate(rows, "reference", [F.max("count").alias("top_count")]).select(F.col("key_value").alias("reference"), "top_count")
-    joined = skew_join(rows, dim, "reference")
+    sketch = sketch_keys(rows, "reference")
+    dim = skew_aggregate(rows, "reference", [F.max("count").alias("top_count")], sketch=sketch).select(F.col("key_value").alias("reference"), "top_count")
+    joined = skew_join(rows, dim, "reference", sketch=sketch)
     return joined.select("row_id", "received_at", "reference", "count", F.try_divide("count", "top_count").alias("of_top"))
 
 
