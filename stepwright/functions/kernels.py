@@ -105,32 +105,88 @@ def split_segments(x: np.ndarray, least_gain: float = 18.0, least_len: int = 10)
     return sorted(done)
 
 
-def warp_distances(x: np.ndarray, y: np.ndarray, band: float = 0.1) -> np.ndarray:
-    """Time warping of each row of x with the same row of y, with absolute differences within a band about
-    the diagonal, over the length of the path. All rows take a step of the recursion at once.
+def warp_many(xs: list[np.ndarray], ys: list[np.ndarray], band: float = 0.1) -> np.ndarray:
+    """Time warping of each of xs with the same of ys, with absolute differences within a band about the
+    diagonal, over the length of the path. All pairs take a step of the recursion at once.
 
     Of equally cheap steps the one down is taken before the one across and the diagonal. Infinite if
     either side is empty.
     """
-    g, n = x.shape
-    m = y.shape[1]
-    if not n or not m:
-        return np.full(g, np.inf)
-    w = max(min(max(math.ceil(band * max(n, m)), LEAST_BAND), GREATEST_BAND), abs(n - m))
-    cost, steps = np.full((m + 1, g), np.inf), np.zeros((m + 1, g), int)
+    g = len(xs)
+    n, m = np.array([len(x) for x in xs], int), np.array([len(y) for y in ys], int)
+    out = np.full(g, np.inf)
+    if not g or not n.max() or not m.max():
+        return out
+    x, y = np.zeros((n.max(), g)), np.zeros((m.max(), g))
+    for k in range(g):
+        x[: n[k], k], y[: m[k], k] = xs[k], ys[k]
+    w = np.maximum(np.clip(np.ceil(band * np.maximum(n, m)), LEAST_BAND, GREATEST_BAND), abs(n - m)).astype(int)
+    widest, even = int(w.max()), bool((w == w[0]).all())
+    cost, steps = np.full((len(y) + 1, g), np.inf), np.zeros((len(y) + 1, g), int)
     cost[0] = 0.0
-    for i in range(1, n + 1):
-        new, new_steps = np.full((m + 1, g), np.inf), np.zeros((m + 1, g), int)
-        for j in range(max(1, i - w), min(m, i + w) + 1):
+    for i in range(1, len(x) + 1):
+        new, new_steps = np.full_like(cost, np.inf), np.zeros_like(steps)
+        for j in range(max(1, i - widest), min(len(y), i + widest) + 1):
             best, k = cost[j], steps[j]
             across = new[j - 1] < best
             best, k = np.where(across, new[j - 1], best), np.where(across, new_steps[j - 1], k)
             diagonal = cost[j - 1] < best
             best, k = np.where(diagonal, cost[j - 1], best), np.where(diagonal, steps[j - 1], k)
-            new[j] = best + np.abs(x[:, i - 1] - y[:, j - 1])
+            best = best + np.abs(x[i - 1] - y[j - 1])
+            new[j] = best if even else np.where(abs(i - j) <= w, best, np.inf)
             new_steps[j] = k + 1
         cost, steps = new, new_steps
-    return np.where(steps[m] > 0, cost[m] / np.maximum(steps[m], 1), np.inf)
+        done = np.flatnonzero((n == i) & (m > 0))
+        if len(done):
+            length = steps[m[done], done]
+            out[done] = np.where(length > 0, cost[m[done], done] / np.maximum(length, 1), np.inf)
+    return out
+
+
+def warp_distances(x: np.ndarray, y: np.ndarray, band: float = 0.1) -> np.ndarray:
+    """warp_many of the rows of two matrices."""
+    return warp_many(list(x), list(y), band)
+
+
+def warp_path(x: np.ndarray, y: np.ndarray, band: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest path between two series within the band of warp_distances, as places in either.
+
+    Of equally cheap steps back the diagonal is taken before the one in x and the one in y.
+    """
+    n, m = len(x), len(y)
+    w = max(min(max(math.ceil(band * max(n, m)), LEAST_BAND), GREATEST_BAND), abs(n - m))
+    cost = np.full((n + 1, m + 1), np.inf)
+    cost[0, 0] = 0.0
+    gap = np.abs(x[:, None] - y[None, :])
+    for s in range(2, n + m + 1):  # cells of one diagonal don't depend on each other
+        i = np.arange(max(1, s - m), min(n, s - 1) + 1)
+        i = i[np.abs(2 * i - s) <= w]
+        j = s - i
+        cost[i, j] = gap[i - 1, j - 1] + np.minimum(cost[i - 1, j - 1], np.minimum(cost[i - 1, j], cost[i, j - 1]))
+    i, j, path = n, m, []
+    while i and j:
+        path.append((i - 1, j - 1))
+        ways = cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1]
+        k = int(np.argmin(ways))
+        i, j = i - (k != 2), j - (k != 1)
+    return tuple(np.array(path[::-1]).T)
+
+
+def barycentre(start: np.ndarray, series: list[np.ndarray], turns: int = 10, band: float = 0.1) -> np.ndarray:
+    """The mean course of several series under warping: each turn maps all of them to the course and takes the mean of
+    what falls to each place, until it stays as it is."""
+    mean = start.copy()
+    for _ in range(turns):
+        total, count = np.zeros(len(mean)), np.zeros(len(mean))
+        for v in series:
+            i, j = warp_path(v, mean, band)
+            total += np.bincount(j, v[i], len(mean))
+            count += np.bincount(j, minlength=len(mean))
+        new = total / count
+        if np.allclose(new, mean):
+            break
+        mean = new
+    return mean
 
 
 def _arrays(lists: pa.Array) -> list[np.ndarray]:
@@ -207,12 +263,10 @@ def warp(x: Column, y: Column, band: float = 0.1) -> Column:
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
             xs, ys = _arrays(a), _arrays(b)
-            alike: dict[tuple[int, int], list[int]] = {}
-            for k, (p, q) in enumerate(zip(xs, ys)):
-                alike.setdefault((len(p), len(q)), []).append(k)
+            order = np.argsort([len(v) for v in xs], kind="stable")  # pairs of like lengths together
             d = np.full(len(xs), np.inf)
-            for rows in alike.values():
-                d[rows] = warp_distances(np.array([xs[k] for k in rows]), np.array([ys[k] for k in rows]), band)
+            for part in np.array_split(order, -(-len(order) // 2048) or 1):
+                d[part] = warp_many([xs[k] for k in part], [ys[k] for k in part], band)
             yield pa.array(d, pa.float64(), mask=~np.isfinite(d))
 
     return F.arrow_udf(run, "double")(x, y)

@@ -1,4 +1,4 @@
-"""Distances of reads to the template of their class, thresholds and outliers."""
+"""Distances of reads to the medoid or barycentre of their class, thresholds and outliers."""
 
 from __future__ import annotations
 
@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.kernels import warp
 from ..functions import arrays as A
 from ..runtime import materialize, ship
+from .pairwise import PER_CLASS, barycentres, medoids, pairwise, sample
 from .ranks import group_quantiles
 
 
-def class_templates(reads: DataFrame, length: int) -> DataFrame:
+def class_templates(reads: DataFrame, kind: str = "medoid", per_class: int = PER_CLASS, band: float = 0.1) -> DataFrame:
+    """Of each class the medoid of a bounded sample of its reads, or the sample's barycentre: (class, template)."""
+    rows = materialize(sample(reads, per_class), "sample")
+    pairs = materialize(pairwise(rows, "warp", band), "pairs")
+    if kind == "barycentre":
+        return materialize(barycentres(rows, pairs, band=band), "templates")
+    return materialize(medoids(pairs, rows).select("class", F.col("x").alias("template")), "templates")
+
+
+def mean_courses(reads: DataFrame, length: int) -> DataFrame:
     """Of each class the mean course of its reads at even places, as (class, template).
 
     Reads are brought to one length and averaged place by place, which are sums in two steps; a class
@@ -24,7 +34,7 @@ def class_templates(reads: DataFrame, length: int) -> DataFrame:
     return ordered.select("class", F.transform("t", lambda s: s["v"]).alias("template"))
 
 
-def to_template(reads: DataFrame, length: int = 16, band: float = 0.1) -> DataFrame:
+def to_template(reads: DataFrame, kind: str = "medoid", band: float = 0.1) -> DataFrame:
     """Each read's warping distance to its own class's template: (read_id, class, distance).
 
     There is one template per class, which Spark broadcasts by its size or joins by class otherwise.
@@ -32,7 +42,7 @@ def to_template(reads: DataFrame, length: int = 16, band: float = 0.1) -> DataFr
     """
     ship(reads.sparkSession)
     ready = materialize(reads.where("size(x) > 0 and class is not null").select("read_id", "class", A.levelled(F.col("x")).alias("x")), "levelled")
-    templates = class_templates(ready, length)
+    templates = class_templates(ready, kind, band=band)
     return ready.join(templates, "class").select("read_id", "class", warp(F.col("x"), F.col("template"), band).alias("distance"))
 
 

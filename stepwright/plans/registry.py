@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evaluation, evaluation_sets, manifest, models, prepare, reach, regions, run_metrics, signals, skewed, streams
+from . import evaluation, evaluation_sets, manifest, models, pairs, prepare, reach, regions, run_metrics, signals, skewed, streams
 
-MODULES = [skewed, reach, manifest, signals, evaluation, evaluation_sets, models, regions, run_metrics, prepare, streams]
+MODULES = [skewed, reach, manifest, signals, evaluation, evaluation_sets, models, regions, run_metrics, prepare, pairs, streams]
 
 
 def queries() -> dict[str, Callable]:
