@@ -17,6 +17,8 @@ from .kernels import _arrays, split_segments
 
 NAN = float("nan")
 SCALES = (4, 8, 16, 32)
+#: Squares about the mean that add up to no more than this are rounding, and the series is flat.
+FLAT = 1e-18
 
 PEAKS = ("n_peaks", "mean_peak_val", "mean_peak_prom", "mean_peak_dist", "median_peak_dist", "peak_dist_q10", "peak_dist_q90", "n_troughs", "mean_trough_val", "mean_trough_prom")
 ROLLING = ("median_rolling_slope", "rolling_slope_q60", "std_rolling_slope", "mean_rolling_slope", "max_rolling_slope", "min_rolling_slope", "avg_abs_rolling_slope", "rolling_slope_q25", "rolling_slope_q75")
@@ -71,7 +73,7 @@ def rolling(x: np.ndarray, size: int = 100) -> list[float]:
 def _lag1(x: np.ndarray) -> float:
     c = x - x.mean()
     whole = float(c @ c)
-    return float(c[:-1] @ c[1:]) / whole if len(x) > 1 and whole > 0 else 0.0
+    return float(c[:-1] @ c[1:]) / whole if len(x) > 1 and whole > FLAT else 0.0
 
 
 def multiscale(x: np.ndarray) -> list[float]:

@@ -308,7 +308,7 @@ def _scale(k: int) -> dict[str, str]:
     pairs = f"generate_series(1, len({y}) - 1)"
     return {
         f"ms{k}_std": _dev(y, f"list_avg({y})"), f"ms{k}_iqr": f"{_q(y, 0.75)} - {_q(y, 0.25)}", f"ms{k}_tv_mean": f"coalesce(list_avg(list_transform({pairs}, lambda i: abs({y}[i + 1] - {y}[i]))), 0)",
-        f"ms{k}_ac1": f"coalesce(list_sum(list_transform({pairs}, lambda i: ({y}[i] - list_avg({y})) * ({y}[i + 1] - list_avg({y})))) / nullif(list_sum(list_transform({y}, lambda v: (v - list_avg({y})) * (v - list_avg({y})))), 0), 0)",
+        f"ms{k}_ac1": f"coalesce(list_sum(list_transform({pairs}, lambda i: ({y}[i] - list_avg({y})) * ({y}[i + 1] - list_avg({y})))) / (case when list_sum(list_transform({y}, lambda v: (v - list_avg({y})) * (v - list_avg({y})))) > 1e-18 then list_sum(list_transform({y}, lambda v: (v - list_avg({y})) * (v - list_avg({y})))) end), 0)",
         f"ms{k}_zcr": f"len(list_filter({pairs}, lambda i: {y}[i] * {y}[i + 1] < 0)) / greatest(len({y}) - 1, 1)::double",
     }
 
