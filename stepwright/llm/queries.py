@@ -44,16 +44,22 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return split_report(_split(spark, d).select("entry_id", "class", "split"), table(spark, d, "split_targets"))
 
 
+def _six(c: str):
+    """Six decimals, as sums in another order differ in the last digits."""
+    return F.round(F.col(c) + F.lit(1e-8), 6)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return collapse_steps(table(spark, d, "step_segments")).where("n_steps > 1").select("read_id", "run_start", "run_end")
 
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:
-    return collapse_steps(table(spark, d, "step_segments"))
+    return collapse_steps(table(spark, d, "step_segments")).withColumn("level", _six("level"))
 
 
 def p3_features(spark: SparkSession, d: str) -> DataFrame:
-    return step_features(collapse_steps(table(spark, d, "step_segments")))
+    out = step_features(collapse_steps(table(spark, d, "step_segments")))
+    return out.withColumns({c: _six(c) for c in ("mean_step_len", "max_step_height")})
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -178,10 +184,10 @@ SQL: dict[str, str] = {
     "p3_found": _RUNS + """
         select read_id, run_start, run_end from collapsed where n_steps > 1""",
     "p3_runs": _RUNS + """
-        select read_id, run_start, run_end, cast(n_steps as integer) as n_steps, samples, level, run_end - run_start as duration from collapsed""",
+        select read_id, run_start, run_end, cast(n_steps as integer) as n_steps, samples, round(level + 1e-8, 6) as level, run_end - run_start as duration from collapsed""",
     "p3_features": _RUNS + """,
         heights as (select *, abs(level - lag(level) over (partition by read_id order by run_start, run_end)) as height from collapsed)
-        select read_id, cast(sum(1) as bigint) as n_steps, sum(samples) / sum(1) as mean_step_len, max(height) as max_step_height from heights group by read_id""",
+        select read_id, cast(sum(1) as bigint) as n_steps, round(sum(samples) / sum(1) + 1e-8, 6) as mean_step_len, round(max(height) + 1e-8, 6) as max_step_height from heights group by read_id""",
     "p5_found": """
         with have as (
           select class, lower(trim(dataset, chr(9) || chr(10) || chr(13) || ' ')) as d, count(*) as n from templaterc group by all)
