@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +97,26 @@ def two_sided(z):
     return F.least(F.exp(-x * x) * poly, F.lit(1.0))
 
 
+def rank_correlation_p(rho, n):
+    """Two-sided chance of a correlation at least as strong among n rows without any, by Student's t with n - 2 degrees.
+
+    The finite series for whole degrees of freedom in the angle whose sine is rho, one term per two rows: meant for
+    tables of groups, not of records. Null with fewer than three rows.
+    """
+    v, r = n.cast("int") - 2, F.least(F.abs(rho), F.lit(1.0))
+    cos2 = 1 - r * r
+    odd = v % 2 == 1
+    terms = F.sequence(F.lit(1), F.greatest(F.floor((v - F.when(odd, 1).otherwise(0)) / 2).cast("int"), F.lit(1)))
+    first = F.when(odd & (v == 1), 0.0).when(odd, F.sqrt(cos2)).otherwise(1.0)
+    start = F.struct(first.alias("t"), first.alias("s"))
+    shift = F.when(odd, 1).otherwise(0)
+    # every term is the one before times (2k - 1 + shift) / (2k + shift) cos^2
+    step = lambda a, k: F.struct((a["t"] * (2 * k - 1 + shift) / (2 * k + shift) * cos2).alias("t"), (a["s"] + F.when(k < F.size(terms), a["t"] * (2 * k - 1 + shift) / (2 * k + shift) * cos2).otherwise(0.0)).alias("s"))
+    total = F.aggregate(terms, start, step, lambda a: a["s"])
+    inside = F.when(odd, (F.asin(r) + r * total) * (2 / math.pi)).otherwise(r * total)
+    return F.when((v >= 1) & rho.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))
+
+
 def benjamini_hochberg(tests: DataFrame, p_col: str, alpha: float = 0.05) -> DataFrame:
     """tests with passed: whether p is at most the greatest p that lies below its rank's part of alpha."""
     known = tests.where(F.col(p_col).isNotNull())

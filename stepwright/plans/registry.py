@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evaluation, evaluation_sets, manifest, models, pairs, prepare, reach, regions, run_metrics, selection, signals, skewed, streams
+from . import evaluation, evaluation_sets, manifest, models, pairs, peptides, prepare, reach, regions, run_metrics, selection, signals, skewed, streams
 
-MODULES = [skewed, reach, manifest, signals, evaluation, evaluation_sets, models, regions, run_metrics, prepare, pairs, selection, streams]
+MODULES = [skewed, reach, manifest, signals, evaluation, evaluation_sets, models, regions, run_metrics, prepare, pairs, peptides, selection, streams]
 
 
 def queries() -> dict[str, Callable]:
