@@ -25,6 +25,7 @@ ROLLING = ("median_rolling_slope", "rolling_slope_q60", "std_rolling_slope", "me
 MULTISCALE = tuple(f"ms{s}_{k}" for s in SCALES for k in ("std", "iqr", "tv_mean", "ac1", "zcr"))
 DROP = ("drop_idx", "drop_pre_mean", "drop_post_min", "drop_depth", "drop_duration", "drop_auc", "drop_auc_norm")
 LAG = ("ac_zero_cross_lag",)
+SPECTRAL = ("total_power", "spectral_centroid", "spectral_bandwidth", "spectral_entropy", "dominant_freq")
 STEPS = (
     "n_steps", "min_step_len", "max_step_len", "mean_step_len", "median_step_len", "std_step_len", "prop_short_steps",
     "mean_step_mean", "std_step_mean", "min_step_mean", "max_step_mean", "q25_step_mean", "q75_step_mean", "step_mean_iqr", "step_mean_mad",
@@ -114,6 +115,22 @@ def zero_lag(x: np.ndarray) -> list[float]:
     return [int(below[0]) if len(below) else len(x) - 1]
 
 
+def spectral(x: np.ndarray) -> list[float]:
+    """Power, centre, width and entropy of the spectrum of the levelled samples, and its strongest frequency.
+
+    Flat series have 0 throughout. Magnitudes are compared to nine decimals.
+    """
+    y = x - x.mean()
+    if (y * y).sum() <= FLAT:
+        return [0.0] * 5
+    size, freq = np.abs(np.fft.rfft(y)), np.fft.rfftfreq(len(y))
+    total = size.sum()
+    centre = (freq * size).sum() / total
+    part = size / total + 1e-12
+    part /= part.sum()
+    return [(size**2).sum(), centre, np.sqrt((((freq - centre) ** 2) * size).sum() / total), -(part * np.log(part)).sum(), freq[np.argmax(np.round(size, 9))]]
+
+
 def falls_then_rises(means: np.ndarray, tol: float = 1e-8) -> bool:
     """Whether levels go one way, or down to one inner lowest level and up again; the last level may be left out for that."""
     if not len(means):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import feature_kernels as K
+from ..functions.kernels import halve as halved
 
 DECILES = (0.1, 0.25, 0.4, 0.6, 0.75, 0.9)
 TINY = 1e-12
@@ -194,6 +195,16 @@ def rolling_slopes(size: int):
     return _scanned(lambda x: K.rolling(x, size), K.ROLLING), K.ROLLING
 
 
+def spectral(halve: bool = True):
+    """The block of the spectrum, of every second sample of series from 32 on, or of all samples."""
+
+    def add(st: DataFrame) -> DataFrame:
+        got = st.withColumn("_block", K.block(halved(F.col("x")) if halve else F.col("x"), K.spectral, K.SPECTRAL))
+        return got.select(*st.columns, *[F.col("_block")[i].alias(k) for i, k in enumerate(K.SPECTRAL)])
+
+    return add, K.SPECTRAL
+
+
 def frame(reads: DataFrame, blocks: list | None = None, id_col: str = "read_id") -> DataFrame:
     """One row of features per read with samples: the blocks named (all if none are), or given as (function, names).
 

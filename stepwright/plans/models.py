@@ -39,6 +39,10 @@ def resample_polyphase(spark, d):
     return _long(_reads(spark, d), K.resample_polyphase(F.col("x"), 24))
 
 
+def resample_fourier(spark, d):
+    return _long(_reads(spark, d), K.resample_fourier(F.col("x"), 24))
+
+
 def segments_cut(spark, d):
     """The signals cut into steps, one row per step."""
     cut = _reads(spark, d).select("read_id", F.explode(K.segments(F.col("x"), 8.0, 4)).alias("g"))

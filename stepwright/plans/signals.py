@@ -192,6 +192,8 @@ feature_multiscale = _features("multiscale")
 feature_peaks = _features("peaks")
 feature_drop = _features("drop")
 feature_steps = _features("steps")
+feature_spectral = _features(X.spectral())
+feature_spectral_whole = _features(X.spectral(False))
 feature_frame_all = _features(*[k for k in X.BLOCKS if k != "steps"])
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith(("reads_", "array_", "feature_")) and callable(f)}
@@ -358,3 +360,12 @@ def _select(name: str, table: str = "") -> str:
 SQL.update({k: _WITH + _select(k) for k in _BLOCKS})
 _FRAME = [_select(k, "roll100" if k == "feature_rolling_slopes" else "") for k in _BLOCKS]
 SQL["feature_frame_all"] = _WITH + "select * from " + " join ".join(f"({q}) t{i}" + (" using (read_id)" if i else "") for i, q in enumerate(_FRAME))
+
+# The transform as it is written down: a sum of cosines and sines per frequency.
+SQL["feature_spectral_whole"] = _ST + f""", ct as (select read_id, n, list_transform(x, lambda v: v - mean) as y from st),
+  sp as (select read_id, n, y, list_transform(generate_series(0, n // 2), lambda k: sqrt(pow(list_sum(list_transform(generate_series(1, n), lambda i: y[i] * cos(2 * pi() * k * (i - 1) / n))), 2) + pow(list_sum(list_transform(generate_series(1, n), lambda i: y[i] * sin(2 * pi() * k * (i - 1) / n))), 2))) as m from ct),
+  ce as (select *, list_sum(m) as total, list_sum(list_transform(m, lambda v, k: v * (k - 1) / n::double)) / nullif(list_sum(m), 0) as c, list_transform(m, lambda v: v / nullif(list_sum(m), 0) + 1e-12::double) as p, list_sum(list_transform(y, lambda v: v * v)) <= 1e-18 as flat from sp)
+  select read_id, {_r('case when flat then 0 else list_sum(list_transform(m, lambda v: v * v)) end', 'total_power')}, {_r('case when flat then 0 else c end', 'spectral_centroid')},
+    {_r('case when flat then 0 else sqrt(list_sum(list_transform(m, lambda v, k: pow((k - 1) / n::double - c, 2) * v)) / total) end', 'spectral_bandwidth')},
+    {_r('case when flat then 0 else -list_sum(list_transform(p, lambda v: v / list_sum(p) * ln(v / list_sum(p)))) end', 'spectral_entropy')},
+    {_r('case when flat then 0 else (list_position(list_transform(m, lambda v: round(v, 9)), list_max(list_transform(m, lambda v: round(v, 9)))) - 1) / n::double end', 'dominant_freq')} from ce"""
