@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import distance as D
+from ..operators import distance_features as DF
 from ..operators import evaluation as E
 from ..operators import pairwise as P
+from ..operators import selection as S
 from ..runtime import materialize, ship
+from .evaluation import FEATURES, features
+from .selection import _FILL
 from .signals import _r, _reads, _rounded, _X
 
 #: Samples that the straight distance compares.
@@ -50,6 +54,25 @@ def pairs_silhouettes(spark, d):
     return _rounded(P.silhouettes(_pairs(spark, d)))
 
 
+def pairs_blended(spark, d):
+    """Straight distances of a sample's pairs, half and half with those of the reads' standardised features."""
+    rows = materialize(S.filled(features(spark, d), ["read_id"], FEATURES), "filled")
+    return _rounded(DF.blended(_pairs(spark, d), DF.standardised(rows, FEATURES)))
+
+
+def pairs_template_features(spark, d):
+    """Features of every read's straight distances to the mean courses of the classes."""
+    reads = _levelled(spark, d)
+    return _rounded(DF.features(materialize(DF.straight(reads, materialize(D.mean_courses(reads, LENGTH), "courses"), LENGTH), "straight")))
+
+
+def warp_template_features(spark, d):
+    """Features of every read's warping distances to the medoids of the classes."""
+    reads = _levelled(spark, d)
+    far = P.to_all(reads, D.class_templates(reads, per_class=20))
+    return _rounded(DF.features(DF.from_map(materialize(far, "to_all"))))
+
+
 def warp_pairs(spark, d):
     """Warping distances of all pairs of a sample of each class."""
     return _rounded(P.pairwise(P.sample(_levelled(spark, d), 12), "warp"))
@@ -91,3 +114,31 @@ SQL = {
       s as (select id_a as read_id, class_a as class, max(mean) filter (class_a = class_b) as inside, min(mean) filter (class_a <> class_b) as away, arg_min(class_b, (mean, class_b)) filter (class_a <> class_b) as nearest from m group by all)
       select read_id, class, {_r('inside', 'inside')}, nearest, {_r('coalesce((away - inside) / nullif(greatest(away, inside), 0), 0)', 'silhouette')} from s where inside is not null and away is not null""",
 }
+
+# Distances of the standardised features, beside the straight ones.
+_LEV = _S.split("  smp as")[0]
+_FV = ", ".join(f"coalesce(({c} - avg({c}) over ()) / nullif(stddev_pop({c}) over (), 0), 0)" for c in FEATURES)
+SQL["pairs_blended"] = _S + _FILL.replace("with frow", ", frow", 1) + f""", vec as (select read_id, [{_FV}] as v from fl),
+  bl as (select p.*, sqrt(list_sum(list_transform(generate_series(1, {len(FEATURES)}), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) as fd from prs p join vec a on a.read_id = id_a join vec b on b.read_id = id_b)
+  select id_a, class_a, id_b, class_b, {_r('distance', 'distance')}, {_r('fd', 'feature_distance')},
+    {_r('0.5 * coalesce((distance - min(distance) over ()) / nullif(max(distance) over () - min(distance) over (), 0), 0) + 0.5 * coalesce((fd - min(fd) over ()) / nullif(max(fd) over () - min(fd) over (), 0), 0)', 'combined')} from bl"""
+_Q = lambda p: f"list_aggregate(ds, 'quantile_cont', {p})"
+_SUM = lambda e: f"list_sum(list_transform(ds, lambda v: {e}))"
+_VALUES = {
+    "d_min": "ss[1]", "d_second": "ss[2]", "d_min_ratio": "ss[1] / (ss[2] + 1e-12::double)", "d_min_margin": "ss[2] - ss[1]", "d_max": "list_max(ds)", "d_mean": "mn", "d_median": "md", "d_std": "sd",
+    "d_mad": "list_aggregate(list_transform(ds, lambda v: abs(v - md)), 'quantile_cont', 0.5)", "d_iqr": f"{_Q(0.75)} - {_Q(0.25)}", "d_p25": _Q(0.25), "d_p75": _Q(0.75), "d_p90": _Q(0.9), "d_p99": _Q(0.99),
+    "d_skew": f"case when sd > 1e-9 and n > 2 then {_SUM('pow(v - mn, 3)')} / n / pow(sd, 3) * sqrt(n * (n - 1)) / (n - 2) end",
+    "d_kurt": f"case when sd > 1e-9 and n > 3 then ((n + 1) * ({_SUM('pow(v - mn, 4)')} / n / pow(sd, 4) - 3) + 6) * (n - 1) / ((n - 2) * (n - 3)) end",
+    "d_share_near": "len(list_filter(ds, lambda v: v <= 1.5 * md)) / n", "d_mean_z": "list_avg(z)", "d_max_z": "list_max(z)", "d_min_z": "list_min(z)",
+    "d_softmax_entropy": "-list_sum(list_transform(p, lambda v: v * ln(v + 1e-12::double)))", "d_softmax_max": "list_max(p)", "d_rbf_mean": f"{_SUM('exp(-v * v / (w * w))')} / n", "d_rbf_max": "list_max(list_transform(ds, lambda v: exp(-v * v / (w * w))))",
+}
+SQL["pairs_template_features"] = _LEV + f""" all_y as (select class, read_id, list_transform(generate_series(0, {LENGTH - 1}), lambda i: y[{_LO} + 1] + (y[least({_LO} + 1, len(y) - 1) + 1] - y[{_LO} + 1]) * ({_I} - {_LO})) as y from lev),
+  mc as (select class, list(m order by pos) as t from (select class, i as pos, avg(y[i]) as m from all_y, (select unnest(generate_series(1, {LENGTH})) as i) group by all) group by class),
+  tr as (select list(class order by class) as names, list(t order by class) as ts from mc),
+  di as (select read_id, class, names, list_transform(ts, lambda t: sqrt(list_sum(list_transform(generate_series(1, {LENGTH}), lambda i: (y[i] - t[i]) * (y[i] - t[i]))))) as ds from all_y, tr),
+  lg as (select unnest(names) as name, unnest(ds) as v from di), cm as (select name, median(v) as m from lg group by 1), ck as (select name, m, median(abs(v - m)) + 1e-12::double as k from lg join cm using (name) group by all),
+  cl as (select list(m order by name) as ms, list(k order by name) as ks from ck),
+  ba as (select *, list_sort(ds) as ss, len(ds)::double as n, list_avg(ds) as mn, list_aggregate(ds, 'quantile_cont', 0.5) as md, list_aggregate(ds, 'stddev_pop') as sd, list_transform(ds, lambda v, i: (v - ms[i]) / ks[i]) as z from di, cl),
+  wd as (select *, (select median(md) + 1e-12::double from ba) as w from ba),
+  ex as (select *, list_transform(ds, lambda v: exp(-v / (w * w)) / (list_sum(list_transform(ds, lambda u: exp(-u / (w * w)))) + 1e-12::double)) as p from wd)
+  select read_id, class, names[list_position(ds, ss[1])] as nearest, cast(len(list_filter(ds, lambda v: v <= 1.5 * md)) as integer) as d_count_near, {', '.join(_r(e, k) for k, e in _VALUES.items())} from ex"""
