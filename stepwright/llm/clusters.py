@@ -19,6 +19,11 @@ VECTORS, BIN = 3, 1e-4
 # How far two reads of one group may lie apart, in median_slope, kurtosis and ln(total_variation).
 TOLERANCE = {"median_slope": 0.004, "kurtosis": 0.04, "total_variation": 0.02}
 
+#: The least share of a group's mass that a link must have to count where the embedding sees two groups. Reads that all
+#: agree with each other within the tolerance lie in 8 cells at most, with affinities of exp(-3) at least: some two of
+#: their parts share exp(-3) / (1 + 7 exp(-3)) = 0.037 or more, so such reads always stay together.
+BRIDGE = 0.02
+
 
 def _near_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     """All pairs (a, b) of occupied cells that touch, itself included, as a join on the neighbours' positions."""
@@ -49,10 +54,12 @@ def cluster(
       no two touch, each node goes to the nearest centre near it, and the centres move to their
       means until no node changes;
     - a last exact check: a cluster's nodes must be linked (parts that met by chance in a bin come
-      apart), and clusters with a link between them become one (parts that had not settled come
-      together), see join_linked. So the number of turns costs time and no member. With bridge above
-      0, links that are thin beside what they join don't count: dense groups stay as the embedding
-      has them.
+      apart), and clusters with a link between them that isn't thin beside what it joins, by the share
+      bridge, become one (parts that had not settled come together), see join_linked. So dense groups
+      with a thin link between them stay as the embedding has them.
+
+    With bridge 0 every link counts: clusters are the connected parts of the links, which no embedding
+    could change, and none is made.
     """
     keys = [f"k{i}" for i in range(len(axes))]
     placed = points.select(id_col, *[F.col(a).alias(f"x{i}") for i, a in enumerate(axes)])
@@ -70,6 +77,22 @@ def cluster(
     squares = F.aggregate(F.zip_with("centre_a", "centre_b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, g: s + g)
     near = _near_cells(cells, keys).where((gap[0] <= 1) & (gap[1] <= 1))
     links = materialize(near.select("a", "b", (F.col("n_b") * F.exp(-squares)).alias("w"), (F.col("n_a") * F.col("n_b") * F.exp(-squares)).alias("mass")), "affinities")
+    apart = join_linked(_embedded(links, iterations, seed), links, bridge) if bridge > 0 else _parts(links)
+    every = materialize(cells.join(apart, "cell", "left").select("cell", F.coalesce("cluster", "cell").alias("cluster"), "n", "centre"), "clusters")
+    for t in (cells, links):
+        discard(t)
+    members = placed.join(every.select("cell", "cluster"), "cell").select(id_col, "cell", "cluster", *xs)
+    return members, every
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    """The connected parts of the links (a, b): (cell, cluster)."""
+    part = connected(links.select(F.col("a").alias("entry"), F.col("b").alias("key")))
+    return part.select(F.col("entry").alias("cell"), F.col("group").alias("cluster"))
+
+
+def _embedded(links: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """Clusters by the embedding alone, of the cells that have neighbours: (cell, cluster), see cluster."""
     # Nodes without any other neighbour are clusters of their own; only the others are iterated.
     degree = materialize(links.groupBy("a").agg(F.sum("w").alias("degree"), F.count("*").alias("near")).where("near > 1").select("a", "degree"), "degrees")
     vs = [f"v{i}" for i in range(VECTORS)]
@@ -91,12 +114,10 @@ def cluster(
         vector = new.select("cell", *vs)
         if still:
             break
-    apart = join_linked(kmeans_bins(vector, vs), links, bridge)
-    every = materialize(cells.join(apart, "cell", "left").select("cell", F.coalesce("cluster", "cell").alias("cluster"), "n", "centre"), "clusters")
-    for t in (cells, links, degree, vector):
+    near = kmeans_bins(vector, vs)
+    for t in (degree, vector):
         discard(t)
-    members = placed.join(every.select("cell", "cluster"), "cell").select(id_col, "cell", "cluster", *xs)
-    return members, every
+    return near
 
 
 def kmeans_bins(embedding: DataFrame, vs: list[str], passes: int = 20) -> DataFrame:
@@ -147,28 +168,31 @@ def join_linked(assigned: DataFrame, links: DataFrame, bridge: float = 0.0) -> D
     """
     of = assigned.select("cell", "cluster")
     ends = links.join(of.withColumnRenamed("cell", "a"), "a").join(of.select(F.col("cell").alias("b"), F.col("cluster").alias("cluster_b")), "b")
-    part = connected(ends.where("cluster = cluster_b").select(F.col("a").alias("entry"), F.col("b").alias("key")))
-    part = part.select(F.col("entry").alias("cell"), F.col("group").alias("cluster"))
+    part = _parts(ends.where("cluster = cluster_b"))
     while True:
         to = part.select(F.col("cell").alias("b"), F.col("cluster").alias("to"))
         pairs = links.join(part.select(F.col("cell").alias("a"), F.col("cluster").alias("at")), "a").join(to, "b").groupBy("at", "to").agg(F.sum("mass").alias("mass"))
         pairs = materialize(pairs, "between")
         across = pairs.where("at <> to")
-        if bridge > 0:
+        if bridge > 0 and not across.isEmpty():
             whole = pairs.groupBy("at").agg(F.sum("mass").alias("whole"))
-            share = across.join(whole, "at").join(whole.select(F.col("at").alias("to"), F.col("whole").alias("whole_b")), "to")
-            share = share.withColumn("share", F.col("mass") / F.least("whole", "whole_b")).where(F.col("share") >= bridge)
-            first, last = F.least("at", "to"), F.greatest("at", "to")
-            best = share.groupBy("at").agg(F.max_by("to", F.struct("share", -first, -last)).alias("to"))
+            # Once per pair and written, so that both of its ends see the same share to the last bit.
+            share = across.where("at < to").join(whole, "at").join(whole.select(F.col("at").alias("to"), F.col("whole").alias("whole_b")), "to")
+            share = materialize(share.select("at", "to", (F.col("mass") / F.least("whole", "whole_b")).alias("share")).where(F.col("share") >= bridge), "shares")
+            both = share.withColumns({"first": F.col("at"), "last": F.col("to")})
+            both = both.unionByName(both.withColumns({"at": F.col("last"), "to": F.col("first")}))
+            best = both.groupBy("at").agg(F.max_by("to", F.struct("share", -F.col("first"), -F.col("last"))).alias("to"))
             back = best.select(F.col("at").alias("to"), F.col("to").alias("at"))
-            across = best.join(back, ["at", "to"])
+            across = materialize(best.join(back, ["at", "to"]), "across")
+            discard(share)
         if across.isEmpty():
-            discard(pairs)
+            for t in (pairs, across):
+                discard(t)
             return part
         moved = connected(across.select(F.col("at").alias("entry"), F.col("to").alias("key")).unionByName(across.select(F.col("at").alias("entry"), F.col("at").alias("key"))))
         new = part.join(moved, part.cluster == moved.entry, "left").select("cell", F.coalesce("group", "cluster").alias("cluster"))
         new = materialize(new, "joined")
-        for t in (pairs, part):
+        for t in (pairs, across, part):
             discard(t)
         part = new
         if bridge == 0:
@@ -181,7 +205,7 @@ def cluster_reads(
     tolerance: dict[str, float] | None = None,
     logarithmic: tuple[str, ...] = ("total_variation",),
     typical: int = 3,
-    bridge: float = 0.0,
+    bridge: float = BRIDGE,
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster reads that agree in all features; returns (members, groups).
 

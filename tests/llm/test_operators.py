@@ -265,6 +265,41 @@ def test_dense_groups_with_a_thin_bridge_come_apart(spark):
     assert members.where("id < '2'").groupBy("cluster").count().orderBy(F.desc("count")).first()["count"] >= 590
 
 
+def test_the_embedding_decides_on_groups_of_reads(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"{g}{i:03d}", g * 7 + float(rng.normal(0, 0.7)), float(rng.normal(0, 0.7)), 1.0, "x") for g in (0, 1) for i in range(300)]
+    rows += [(f"2{i}", x, 0.0, 1.0, "x") for i, x in enumerate((2.5, 3.4, 4.3, 5.2))]
+    reads = spark.createDataFrame(rows, FEAT)
+    tolerance = {"median_slope": 1.0, "kurtosis": 1.0, "total_variation": 1.0}
+
+    def greatest():
+        members, groups = clusters.cluster_reads(reads, tolerance=tolerance)
+        assert members.count() == len(rows) and members.groupBy("read_id").count().where("count > 1").isEmpty()
+        return sorted(r["size"] for r in groups.collect())[-2:]
+
+    got = greatest()
+    assert len(got) == 2 and got[0] >= 290 and got[1] <= 310
+    # An embedding that sees no difference leaves all linked reads in one group.
+    monkeypatch.setattr(clusters, "_embedded", lambda links, turns, seed: links.select(F.col("a").alias("cell"), F.lit(0).alias("cluster")).distinct())
+    assert greatest()[-1] >= 590
+
+
+def test_reads_that_all_agree_stay_together(spark):
+    corners = [(float(i & 1), float(i >> 1 & 1), float(i >> 2 & 1)) for i in range(8)]
+    rows = [(f"{'abc'[g]}{i}{k:02d}", g * 9 + 0.5 + 0.99 * x, 0.5 + 0.99 * y, math.exp(0.5 + 0.99 * z), "x")
+            for g, of in enumerate((range(8), (0, 7), (0, 3, 5, 6))) for i in of for x, y, z in [corners[i]] for k in range(1 if i else 20)]
+    members, _ = clusters.cluster_reads(spark.createDataFrame(rows, FEAT), tolerance={"median_slope": 1.0, "kurtosis": 1.0, "total_variation": 1.0})
+    assert {r["read_id"]: r["cluster_id"][0] for r in members.collect()} == {r[0]: r[0][0] for r in rows}
+    assert members.select("cluster_id").distinct().count() == 3
+
+
+def test_equal_shares_join(spark):
+    ring = [(i, j, 1.0 / 3 if i != j else 1.0) for i in range(6) for j in (i - 1, i, i + 1)]
+    links = spark.createDataFrame([(i, j % 6, m) for i, j, m in ring], "a bigint, b bigint, mass double")
+    apart = spark.createDataFrame([(i, i) for i in range(6)], "cell bigint, cluster bigint")
+    assert clusters.join_linked(apart, links, bridge=0.02).select("cluster").distinct().count() == 1
+
+
 def test_clusters_of_nothing(spark):
     members, groups = clusters.cluster_reads(spark.createDataFrame([], FEAT))
     assert members.count() == 0 and groups.count() == 0
