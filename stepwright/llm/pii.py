@@ -137,8 +137,10 @@ _FLAT = re.compile(r"(?:Flat|FLAT|flat|Apt\.?|Unit|Suite)[ \n]\d{1,4},?[ \n]\Z")
 _HOUSE_FIRST = re.compile(
     rf"\d(?!\d)[a-zA-Z]?+(?:[ \n](?:bis|ter|quater|BIS|TER))?,?[ \n]((?=[^\W\d_a-z]|{'|'.join(map(re.escape, STREET_FIRST))})(?:{_LETTER}[\w'’.-]*)(?:[ \n]{_LETTER}[\w'’-]*\.?){{1,5}})"
 )
-#: The number that ends a street line, with the blank before it, and the words of the line that end there.
-_HOUSE_LAST = re.compile(r"[ \n]((?:n\.º ?|nº ?|Nr\. ?)?)(\d+ ?[a-z]?)(?![\w:/%])(?![.,-]\d)")
+#: The number that ends a street line, from its first digit on, and the sign of a number before it with the blank before
+#: that. The search skips to digits; blanks are many more.
+_HOUSE_LAST = re.compile(r"\d(?:(?<=[ \n]\d)|(?<=º\d)|(?<=Nr\.\d))\d*+ ?[a-z]?(?![\w:/%])(?![.,-]\d)")
+_NUMBER_SIGN = re.compile(r"[ \n](?:n\.º|nº|Nr\.) ?\Z")
 _STREET_WORD = r"[^\W\d_a-z][\w'’-]*"
 _STREET_WORDS = re.compile(
     rf"(?<![\w-])((?:[^\W\d_a-z][\w'’./-]*)(?:[ \n](?:de|del|la|las|los|el|der|den|dem|am|im|zur|zum|an|{_STREET_WORD})){{0,4}}),?\Z"
@@ -149,6 +151,8 @@ _STREET_PARTICLES = frozenset("de del la las los el der den dem am im zur zum an
 _TOWN = re.compile(r"(?:, (?:Apt\. \d+|\d+º \w|bajo))?(?:,[ \n]|</p>\s*<p>|<br>|\n)\d{5}[ \n][^\W\d_]")
 _PARTICLE = "|".join(PARTICLES)
 _WORD = re.compile(_NAME)
+_AFTER_PLAIN = re.compile(rf"\s({_NAME})")
+_PARTICLE_FIRST = frozenset(c for p in PARTICLES for c in (p[0], p[0].upper()))
 _AFTER = re.compile(rf"\s(?:({_LETTER})\.\s)?((?:(?i:{_PARTICLE})\s)?)({_NAME})")
 _BEFORE = re.compile(rf"(?<![^\W_])((?:(?i:{_PARTICLE})\s)?)({_NAME})(,?)\s\Z")
 _DOT_SPACE = re.compile(r"\.\s")
@@ -301,9 +305,17 @@ class Scan:
             yield "address", a, end, street, f"first {kind}", _word_before(t, a), int(self._town(t, end)), ""
         for m in _HOUSE_LAST.finditer(t):
             # The last word before the number must be able to end a street; most aren't.
-            i = m.start()
+            a = m.start()
+            i = a - 1
+            if t[i] in "º." or t[i - 1 : i] in ("º", "."):
+                sign = _NUMBER_SIGN.search(t, max(0, a - 6), a)
+                if sign:
+                    i = sign.start()
+                elif t[i] in "º.":
+                    continue
             j = i - 1 if t[i - 1 : i] == "," else i
-            k = max(t.rfind(" ", 0, j), t.rfind("\n", 0, j)) + 1
+            k = t.rfind(" ", 0, j) + 1
+            k = max(k, t.rfind("\n", k, j) + 1)
             c = t[k : k + 1]
             if j == k or "a" <= c <= "z" and t[k:j] not in _STREET_PARTICLES or c.isdigit():
                 continue
@@ -316,7 +328,7 @@ class Scan:
             first = next((i for i, w in enumerate(low) if w in STREET_FIRST), None)
             if low[-1] in (NO_STREET if first is None else FLATS):
                 continue
-            if m[2][4:5].isdigit() and (first is not None or j < i or t[i] == "\n" or not low[-1].endswith(STREET_END)):
+            if m[0][4:5].isdigit() and (first is not None or j < i or t[i] == "\n" or not low[-1].endswith(STREET_END)):
                 continue
             # With a type word the address begins there, else with the last word.
             i = first if first is not None else len(words) - 1
@@ -369,8 +381,7 @@ class Scan:
 
     def _places(self, t: str):
         """Where words stand that may be given names; each different piece of the text is looked up once."""
-        pieces = self.words
-        for w in {w for piece in set(t.split()) for w in pieces[piece]}:
+        for w in self.words(t):
             a = t.find(w)
             while a >= 0:
                 b = a + len(w)
@@ -379,17 +390,27 @@ class Scan:
                 a = t.find(w, b)
 
     def _after(self, t: str, a: int, b: int):
-        m = _AFTER.match(t, b)
-        if not m or "\n\n" in m[0] or t[m.end() : m.end() + 1] in ("@", "_"):
+        c = t[b + 1 : b + 2]
+        if not c.isalnum():
+            return None
+        if c in _PARTICLE_FIRST or t[b + 2 : b + 3] == ".":  # a particle or an initial may stand between
+            m = _AFTER.match(t, b)
+            last = m and m[3]
+        else:
+            m = _AFTER_PLAIN.match(t, b)
+            last = m and m[1]
+        if not m or t[m.end() : m.end() + 1] in ("@", "_"):
             return None
-        plain = m[3][0].isupper() and t[a].isupper() and "\n" not in m[0]
-        return a, m.end(), t[a:b].lower(), m[3].lower(), "plain" if plain else "loose"
+        plain = last[0].isupper() and t[a].isupper() and "\n" not in m[0]
+        return a, m.end(), t[a:b].lower(), last.lower(), "plain" if plain else "loose"
 
     def _before(self, t: str, a: int, b: int):
         if not t[a - 1 : a].isspace() or not (t[a - 2 : a - 1].isalpha() or t[a - 2 : a - 1] == ","):
             return None
         left = t[max(0, a - 60) : a]
-        m = _BEFORE.search(left)
+        # A name with its particle is three words at most: the search needn't begin before them.
+        words = left.rsplit(None, 3)
+        m = _BEFORE.search(left, len(words[0]) if len(words) == 4 else 0)
         if not m or "\n\n" in m[0]:
             return None
         start = a - len(left) + m.start(1)
@@ -397,16 +418,13 @@ class Scan:
             return None
         return start, b, t[a:b].lower(), m[2].lower(), "reverse" if m[3] else "loose"
 
-    def __call__(self, text: str):
+    def __call__(self, text: str) -> list[tuple]:
         t, here, there = view(text)
-        same = len(here) == 1
-        for f in (self.emails, self.numbers, self.streets, self.names):
-            if same:
-                yield from f(t)
-                continue
-            for kind, start, end, *rest in f(t):
-                i, j = bisect_right(here, start) - 1, bisect_right(here, end) - 1
-                yield kind, there[i] + start - here[i], there[j] + end - here[j], *rest
+        found = [*self.emails(t), *self.numbers(t), *self.streets(t), *self.names(t)]
+        if len(here) == 1:
+            return found
+        moved = [b - a for a, b in zip(here, there)]
+        return [(c[0], c[1] + moved[bisect_right(here, c[1]) - 1], c[2] + moved[bisect_right(here, c[2]) - 1], *c[3:]) for c in found]
 
 
 BITS = 1 << 22
@@ -427,29 +445,41 @@ def candidates(docs: DataFrame, given: DataFrame, id_col: str, text_col: str) ->
         for batch in batches:
             docs, found = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = list(finder(text))
+                got = finder(text)
                 found += got
                 docs += [doc] * len(got)
             columns = [docs, *(zip(*found) if found else [[]] * (len(names) - 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(columns, types)], names)
+            # By kind, so that readers of one kind can skip the pages of the others.
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(columns, types)], names).sort_by("kind")
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
     return texts.mapInArrow(scan, CANDIDATE)
 
 
-class _Pieces(dict):
-    """The words in a piece of text without blanks that may be given names, remembered for a bounded number of pieces."""
+class _Pieces:
+    """The words of a text that may be given names. What each piece without blanks has is remembered for a bounded number
+    of pieces, and those that have none, which are most, are passed over together."""
 
     def __init__(self, known):
         self.known = known
-
-    def __missing__(self, piece: str) -> tuple[str, ...]:
-        if len(self) >= 200_000:
-            self.clear()
-        known = self.known
-        got = tuple(w for w in _WORD.findall(piece) if known(w.lower()))
-        if len(piece) <= 64:
-            self[piece] = got
+        self.seen: set[str] = set()
+        self.hits: dict[str, list[str]] = {}
+
+    def __call__(self, t: str) -> set[str]:
+        pieces, got, known = set(t.split()), set(), self.known
+        if len(self.seen) >= 200_000:
+            self.seen.clear()
+            self.hits.clear()
+        for piece in pieces - self.seen:
+            words = [w for w in _WORD.findall(piece) if known(w.lower())]
+            if len(piece) > 64:
+                got.update(words)
+                continue
+            self.seen.add(piece)
+            if words:
+                self.hits[piece] = words
+        for piece in pieces & self.hits.keys():
+            got.update(self.hits[piece])
         return got
 
 
@@ -458,9 +488,15 @@ class _Words:
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
+        self.said: dict[str, bool] = {}
 
     def has(self, word: str) -> bool:
-        return all(self.bits[h >> 3] & (128 >> (h & 7)) for h in _spots(word))
+        got = self.said.get(word)
+        if got is None:
+            if len(self.said) >= 200_000:
+                self.said.clear()
+            got = self.said[word] = all(self.bits[h >> 3] & (128 >> (h & 7)) for h in _spots(word))
+        return got
 
 
 def _spots(word: str) -> list[int]:

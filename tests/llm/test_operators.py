@@ -507,3 +507,23 @@ def test_house_numbers_of_any_length():
     street = lambda s: [s[c[1] : c[2]] for c in scan(s) if c[0] == "address"]
     assert street("at 12345 Mill Road, x") == ["12345 Mill Road"] and street("24370 Brenn Anna") == []
     assert street("in der Mühlstraße 10234 b") == ["Mühlstraße 10234 b"] and street("5 Avenue, 17791 Brenn") == []
+
+
+def test_the_scan_asks_once_per_word(monkeypatch):
+    asked, spots = [], pii._spots
+    monkeypatch.setattr(pii, "_spots", lambda w: asked.append(w) or spots(w))
+    bits = np.zeros(pii.BITS, dtype=bool)
+    bits[spots("anna")] = True
+    scan = pii.Scan(pii._Words(np.packbits(bits)).has)
+    text = 'Anna Berg, >Anna, (anna) "Anna" sat; Berg. sat? Anna Berg '
+    got = [sorted(c for c in scan(text) if c[0] == "name") for _ in range(2)]
+    assert sorted(asked.count(w) for w in ("anna", "berg", "sat")) == [1, 1, 1]
+    assert got[0] == got[1] and ("name", 0, 9, "berg", "anna", "", 0, "plain") in got[0]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Goethestr. 12 a\n", ["goethestr. 12 a"]), ("Calle Mayor nº 12, x", ["calle mayor nº 12"]), ("Am Ring Nr. 5b,", ["ring nr. 5b"]),
+    ("Calle Mayor n.º3,", ["calle mayor n.º3"]), ("Hauptweg x.5", []), ("Hauptweg\n7", ["hauptweg\n7"]), ("Hauptweg 7:30", []), ("Hauptweg º7", []),
+])
+def test_numbers_behind_streets(text, want):
+    assert [text[c[1] : c[2]].lower() for c in pii.Scan(lambda w: False)(text) if c[4].startswith("last")] == want
