@@ -117,15 +117,17 @@ _DOT = r"(?:\.|\[\.\]|\(\.\)| ?\[dot\] ?| ?\(dot\) ?| dot )"
 _HOST = re.compile(rf"[A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9-]*)+")
 _DOTS = re.compile(_DOT)
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+-'"
-_TOP = re.compile(r"\.[a-z]{2,}$")
 #: Message ids are machines' names for messages: digits of base 16, with counters after dots or without.
 _MACHINE = re.compile(r"(?=[a-fA-F]*\d)[0-9a-fA-F]{8,}(?:\.\d+)*")
 
 #: Numbers are searched for from their first digit or letter; the signs before it are looked at afterwards.
 _NUMBER = re.compile(r"\d[\d()./ -]{5,24}\d(?:[ -]?[A-Z](?![\w'’]))?(?![\w@:=]|[.-]\w|/\w)")
-_LETTERED = re.compile(r"[A-Z](?:[A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|(?<=[XYZ])-?\d{7}-?[A-Z])(?!\w)(?![@:=]|[.-]\w|/\w)")
+_LETTERED = re.compile(
+    r"[A-Z](?:[A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|-(?<=[XYZ]-)\d{7}-?[A-Z]|\d(?<=[XYZ]\d)\d{6}-?[A-Z])(?!\w)(?![@:=]|[.-]\w|/\w)"
+)
 _DIGITS = re.compile(r"\d+")
 _MASK = str.maketrans({**{d: "9" for d in "012345678"}, **{chr(c): "A" for c in range(65, 91)}})
+_MASK_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ012345678", b"A" * 26 + b"9" * 9)
 _SIGNS = re.compile(r"\W")
 _TWO_NUMBERS = re.compile(r"  +|[ ][-/(]?[ ]")
 
@@ -134,18 +136,21 @@ _IDENTITY_WORDS = re.compile(r"steuer-id|steuernummer|security|sécurité social
 _IDENTITY_PIECES = ("steuer", "security", "sociale", "identidad", "dni", "nif", "nie", "passport", "insurance")
 _FLAT = re.compile(r"(?:Flat|FLAT|flat|Apt\.?|Unit|Suite)[ \n]\d{1,4},?[ \n]\Z")
 #: Begins with the number's last digit, so that the search skips the rest; what stands before is looked at afterwards.
+#: What may follow the digit is told apart by its first character, so that most digits fail at once.
 _HOUSE_FIRST = re.compile(
-    rf"\d(?!\d)[a-zA-Z]?+(?:[ \n](?:bis|ter|quater|BIS|TER))?,?[ \n]((?=[^\W\d_a-z]|{'|'.join(map(re.escape, STREET_FIRST))})(?:{_LETTER}[\w'’.-]*)(?:[ \n]{_LETTER}[\w'’-]*\.?){{1,5}})"
+    r"\d(?:[ \n](?:(?:bis|ter|quater|BIS|TER),?[ \n])?|,[ \n]|[a-zA-Z](?:[ \n](?:bis|ter|quater|BIS|TER))?,?[ \n])"
+    rf"((?=[^\W\d_a-z]|{'|'.join(map(re.escape, STREET_FIRST))})(?:{_LETTER}[\w'’.-]*)(?:[ \n]{_LETTER}[\w'’-]*\.?){{1,5}})"
 )
-#: The number that ends a street line, from its first digit on, and the sign of a number before it with the blank before
-#: that. The search skips to digits; blanks are many more.
-_HOUSE_LAST = re.compile(r"\d(?:(?<=[ \n]\d)|(?<=º\d)|(?<=Nr\.\d))\d*+ ?[a-z]?(?![\w:/%])(?![.,-]\d)")
+#: The number that ends a street line, from the character before its first digit on, and the sign of a number before it
+#: with the blank before that.
+_HOUSE_LAST = re.compile(r"[ \nº.]\d(?:(?<!\.\d)|(?<=Nr\.\d))\d*+ ?[a-z]?(?![\w:/%])(?![.,-]\d)")
 _NUMBER_SIGN = re.compile(r"[ \n](?:n\.º|nº|Nr\.) ?\Z")
 _STREET_WORD = r"[^\W\d_a-z][\w'’-]*"
 _STREET_WORDS = re.compile(
     rf"(?<![\w-])((?:[^\W\d_a-z][\w'’./-]*)(?:[ \n](?:de|del|la|las|los|el|der|den|dem|am|im|zur|zum|an|{_STREET_WORD})){{0,4}}),?\Z"
 )
 _STREET_PARTICLES = frozenset("de del la las los el der den dem am im zur zum an".split())
+_NO_STREET = frozenset(NO_STREET)
 
 
 _TOWN = re.compile(r"(?:, (?:Apt\. \d+|\d+º \w|bajo))?(?:,[ \n]|</p>\s*<p>|<br>|\n)\d{5}[ \n][^\W\d_]")
@@ -155,19 +160,21 @@ _AFTER_PLAIN = re.compile(rf"\s({_NAME})")
 _PARTICLE_FIRST = frozenset(c for p in PARTICLES for c in (p[0], p[0].upper()))
 _AFTER = re.compile(rf"\s(?:({_LETTER})\.\s)?((?:(?i:{_PARTICLE})\s)?)({_NAME})")
 _BEFORE = re.compile(rf"(?<![^\W_])((?:(?i:{_PARTICLE})\s)?)({_NAME})(,?)\s\Z")
-_DOT_SPACE = re.compile(r"\.\s")
+_DOT_SPACE = re.compile(r"\.(?<![a-z0-9]\.)\s")
 _AFTER_INITIAL = re.compile(rf"((?:(?:{_PARTICLE})\s)?)({_NAME})")
 _INITIAL_LAST = re.compile(rf",\s({_LETTER}\.)")
 _LAST_NAME = re.compile(rf"(?<![\w@-])((?:(?:{_PARTICLE})\s)?)({_NAME})\Z")
 
 
 _DIGIT = re.compile(r"[0-8]")
+_LOWER_9 = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ012345678", b"abcdefghijklmnopqrstuvwxyz" + b"9" * 9)
 
 
 def _words_before(text: str, at: int, n: int, span: int = 60) -> str:
     """The n words before a position, of so many characters at most, digits as 9; ends of lines and tags are words."""
-    left = text[max(0, at - span) : at].replace("\n", " ¶ ").replace("<", " ¶ ").replace(">", " ¶ ").lower().split()[-n:]
-    return _DIGIT.sub("9", " ".join(left))
+    left = text[max(0, at - span) : at]
+    left = left.encode().translate(_LOWER_9).decode() if left.isascii() else _DIGIT.sub("9", left.lower())
+    return " ".join(left.replace("\n", " ¶ ").replace("<", " ¶ ").replace(">", " ¶ ").split()[-n:])
 
 
 # Number masks that are certain by their form, and words that announce an identity number.
@@ -205,6 +212,8 @@ class Scan:
     def emails(self, t: str):
         for m in (_SIGN_OR_WORD if " dot " in t else _SIGN).finditer(t):
             host = _HOST.match(t, m.end())
+            if not host:
+                continue
             end = m.start()
             if m[0] != "@" and end and t[end - 1] == " ":
                 end -= 1
@@ -216,20 +225,26 @@ class Scan:
                 start -= 1
             while start < end and not (t[start].isalnum() or t[start] == "_"):
                 start += 1
-            if not host or start >= end:
+            if start >= end:
                 continue
-            local, name, sign = t[start:end].lower(), _DOTS.sub(".", host[0]).lower(), m[0].strip()
+            local, name, sign = t[start:end].lower(), host[0].lower(), m[0].strip()
+            if "[" in name or "(" in name or " " in name:  # dots that are written otherwise
+                name = _DOTS.sub(".", host[0]).lower()
             if _MACHINE.fullmatch(t, start, end):
                 seed, sign, name = 2, "id", "id"  # says nothing about its host
             else:
-                seed = int((sign == "@" or sign == "at") and _TOP.search(name) is not None)
+                top = name[name.rfind(".") + 1 :]
+                seed = int((sign == "@" or sign == "at") and len(top) > 1 and top.isalpha())
             yield "email", start, host.end(), f"{local}@{name}", sign, _word_before(t, start), seed, name
 
     @staticmethod
     def _opens(t: str, a: int) -> int:
         """Where a number that begins at a may open, up to two signs + or ( before it; -1 if it is part of something."""
-        if t[a - 1 : a] in (" ", "\n"):
+        c = t[a - 1 : a]
+        if c in (" ", "\n"):
             return a
+        if c and c not in "+(":
+            return -1 if c.isalnum() or c in "_@#=-" or c in "/.:" and t[max(0, a - 2) : a - 1].isdigit() else a
         for b in range(max(0, a - 2), a + 1):
             if all(c in "+(" for c in t[b:a]):
                 left = t[b - 1 : b]
@@ -253,24 +268,31 @@ class Scan:
             s = s.rstrip(" (./-")
             if s[0] == "(" and s.count("(") > s.count(")"):
                 s, b = s[1:], b + 1
-            if 7 <= sum(map(str.isdigit, s)) <= 15:
-                yield self._number(t, b, s)
+            bare = self._bare(s)
+            if 7 <= len(bare) - bare[-1].isalpha() <= 15:
+                yield self._number(t, b, s, bare)
         for m in _LETTERED.finditer(t):
             a = m.start()
             left = t[a - 1 : a]
             if not (left and (left.isalnum() or left in "_@#+=-" or left in "/.:" and t[max(0, a - 2) : a - 1].isdigit())):
-                yield self._number(t, a, m[0])
+                yield self._number(t, a, m[0], self._bare(m[0]))
 
     @staticmethod
-    def _number(t: str, a: int, s: str):
+    def _bare(s: str) -> str:
+        """A number without its signs."""
+        return s.encode().translate(None, b"()./ +-").decode() if s.isascii() else _SIGNS.sub("", s)
+
+    @staticmethod
+    def _number(t: str, a: int, s: str, bare: str):
         words = _words_before(t, a, 8)
         told = False
         for piece in _IDENTITY_PIECES:
             if piece in words:
                 told = _IDENTITY_WORDS.search(words, words.rfind("9") + 1) is not None
                 break
-        left = words.split(" ")[-2:]
-        return "number", a, a + len(s), _SIGNS.sub("", s), s.translate(_MASK), " ".join(left), int(told), left[-1]
+        left = words.rsplit(" ", 2)[-2:]
+        mask = s.encode().translate(_MASK_ASCII).decode() if s.isascii() else s.translate(_MASK)
+        return "number", a, a + len(s), bare, mask, " ".join(left), int(told), left[-1]
 
     def streets(self, t: str):
         for m in _HOUSE_FIRST.finditer(t):
@@ -305,8 +327,8 @@ class Scan:
             yield "address", a, end, street, f"first {kind}", _word_before(t, a), int(self._town(t, end)), ""
         for m in _HOUSE_LAST.finditer(t):
             # The last word before the number must be able to end a street; most aren't.
-            a = m.start()
-            i = a - 1
+            i = m.start()
+            a = i + 1
             if t[i] in "º." or t[i - 1 : i] in ("º", "."):
                 sign = _NUMBER_SIGN.search(t, max(0, a - 6), a)
                 if sign:
@@ -319,6 +341,8 @@ class Scan:
             c = t[k : k + 1]
             if j == k or "a" <= c <= "z" and t[k:j] not in _STREET_PARTICLES or c.isdigit():
                 continue
+            if t[k:j].lower() in _NO_STREET and (k < 2 or self._apart(t, k - 1)):
+                continue
             line = t[max(0, i - 200) : i].rsplit(None, 5)[-5:]
             n = _STREET_WORDS.search(t, i - len(" ".join(line)), i)
             if not n:
@@ -328,7 +352,7 @@ class Scan:
             first = next((i for i, w in enumerate(low) if w in STREET_FIRST), None)
             if low[-1] in (NO_STREET if first is None else FLATS):
                 continue
-            if m[0][4:5].isdigit() and (first is not None or j < i or t[i] == "\n" or not low[-1].endswith(STREET_END)):
+            if m[0][5:6].isdigit() and (first is not None or j < i or t[i] == "\n" or not low[-1].endswith(STREET_END)):
                 continue
             # With a type word the address begins there, else with the last word.
             i = first if first is not None else len(words) - 1
@@ -336,6 +360,13 @@ class Scan:
             a = n.start(1) + len(" ".join(words[:i])) + (1 if i else 0)
             yield "address", a, m.end(), " ".join(low[i:]), f"last {kind}", _word_before(t, a), int(self._town(t, m.end())), ""
 
+    @staticmethod
+    def _apart(t: str, b: int) -> bool:
+        """Whether what stands before the blank at b surely is no word of a street: a number, or it ends with a sign."""
+        word = t[t.rfind(" ", 0, b) + 1 : b]
+        c = word[-1:]
+        return word.isdigit() or not (c.isalnum() or c in "_'’./-")
+
     @staticmethod
     def _town(t: str, end: int) -> bool:
         """Whether a postcode and a town follow, after the flat and a line end at most."""
@@ -462,24 +493,24 @@ class _Pieces:
 
     def __init__(self, known):
         self.known = known
-        self.seen: set[str] = set()
+        self.none: set[str] = set()
         self.hits: dict[str, list[str]] = {}
 
     def __call__(self, t: str) -> set[str]:
-        pieces, got, known = set(t.split()), set(), self.known
-        if len(self.seen) >= 200_000:
-            self.seen.clear()
-            self.hits.clear()
-        for piece in pieces - self.seen:
-            words = [w for w in _WORD.findall(piece) if known(w.lower())]
-            if len(piece) > 64:
-                got.update(words)
-                continue
-            self.seen.add(piece)
-            if words:
-                self.hits[piece] = words
-        for piece in pieces & self.hits.keys():
-            got.update(self.hits[piece])
+        got, known, none, hits = set(), self.known, self.none, self.hits
+        if len(none) + len(hits) >= 200_000:
+            none.clear()
+            hits.clear()
+        for piece in set(t.split()) - none:
+            words = hits.get(piece)
+            if words is None:
+                words = [w for w in _WORD.findall(piece) if known(w.lower())]
+                if len(piece) <= 64:
+                    if words:
+                        hits[piece] = words
+                    else:
+                        none.add(piece)
+            got.update(words)
         return got
 
 
@@ -526,7 +557,12 @@ def mailbox_pairs(docs: DataFrame, text_col: str) -> DataFrame:
         r"[\p{Lu}][\p{L}'’-]+ (?:(?:" + "|".join(PARTICLES) + r") )?[\p{Lu}][\p{L}-]+\"? ?(?:<|&lt;<a href=\"mailto:)[\w.+-]+@"
     )
     parts = r"^(\S+) (?:(?:" + "|".join(PARTICLES) + r") )?(\S+?)\"? ?(?:<|&lt;<a href=\"mailto:)([\w.+-]+)@"
-    found = docs.where(F.col(text_col).contains("@")).select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(box), F.lit(0))).alias("box"))
+    # A box ends with its only @, has a < before that and no end of line: it is looked for in what stands before each @ on a
+    # line of its own, not from every letter of the text.
+    pieces = F.split(text_col, "@")
+    ends = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.substring_index(x, "\n", -1))
+    lines = docs.where(F.col(text_col).contains("@")).select(F.explode(ends).alias("line")).where(F.col("line").contains("<"))
+    found = lines.select(F.regexp_extract(F.concat("line", F.lit("@")), box, 0).alias("box")).where("box <> ''")
     cut = found.groupBy("box").agg(F.count("*").alias("n")).select(
         F.lower(F.regexp_extract("box", parts, 1)).alias("given"),
         F.lower(F.regexp_extract("box", parts, 2)).alias("family"),

@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import unicodedata
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -527,3 +528,27 @@ def test_the_scan_asks_once_per_word(monkeypatch):
 ])
 def test_numbers_behind_streets(text, want):
     assert [text[c[1] : c[2]].lower() for c in pii.Scan(lambda w: False)(text) if c[4].startswith("last")] == want
+
+
+def test_dates_are_no_streets_and_cost_no_search(monkeypatch):
+    """The words before a number are searched only where they may be a street."""
+    asked, words = [], pii._STREET_WORDS
+    monkeypatch.setattr(pii, "_STREET_WORDS", SimpleNamespace(search=lambda t, *at: asked.append(t[slice(*at)]) or words.search(t, *at)))
+    scan = pii.Scan(lambda w: False)
+    assert list(scan.streets("Received: from a; Wed, 24 Jul 2030 10:55 +0000\nDate: Thu, 5 Dec 2031\nflat 7; Unit 3")) == []
+    assert asked == []
+    text = "Rue B24 Jul 2030, Calle May 12, Lindenweg Nr. 7"
+    assert [text[c[1] : c[2]] for c in scan.streets(text) if c[4].startswith("last")] == ["Rue B24 Jul 2030", "Calle May 12", "Lindenweg Nr. 7"]
+    assert len(asked) == 3
+
+
+def test_mailboxes_before_every_sign(spark):
+    texts = [
+        'Anna Muster <anna.muster@x.de>, "Bob de la Cruz" <bob@cruz.es> Eva Stein <eva@', "Anna\nStein <a@b", "Cy Dorn <a<b@", "Ed Fels <a b@",
+        'Ola Karlsen &lt;<a href="mailto:ka@x', "Xi Yo Ab Cden<d@e@f", "Ida Ott <x@1 Eff Gohl <y@2\nIja Kell <z@3", "Jo Lund\r\nEva Hahn <gh@", "@", "", None,
+    ]
+    got = {(r["given"], r["family"], r["proof"]) for r in pii.mailbox_pairs(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()}
+    assert got == {
+        ("anna", "muster", True), ("bob", "cruz", False), ("eva", "stein", False), ("ola", "karlsen", False), ("ab", "cden", False),
+        ("ida", "ott", False), ("eff", "gohl", False), ("ija", "kell", False), ("eva", "hahn", False),
+    }
